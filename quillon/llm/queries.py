@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, records
+from . import minhash, packing, records
 from .shared import new_folder
 
 
@@ -33,8 +33,14 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), tokenizer_file(), end_id=1, window=2048).drop("ids")
 
 
+def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate groups of every document: doc_id, n_shingles, component_id, kept."""
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents"), percent=85, width=5)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_records": op2_token_records,
     "op4_packing": op4_packing,
+    "op6_minhash_near_dedup": op6_minhash_near_dedup,
 }
 SQL: dict[str, str] = {}
