@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import minhash, packing, records
+from . import feistel, langid, minhash, packing, records
 from .shared import new_folder
 
 
+#: For the registered queries only: a deployment passes a key of its own.
+DEMO_KEY = b"a key that anyone may read"
+
+
 def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
@@ -38,9 +42,26 @@ def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), percent=85, width=5)
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from those not held out: doc_id, held_out, lang_pred, score, rejected."""
+    docs = _table(spark, sf_dir, "documents")
+    model = langid.train(docs.filter(~langid.held_out()))
+    return langid.identify(docs.select("doc_id", langid.held_out().alias("held_out"), "text"), model).select(
+        "doc_id", "held_out", "lang_pred", F.col("lang_score").alias("score"), F.col("lang_rejected").alias("rejected")
+    )
+
+
+def op10_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its personal numbers and dates as pseudonyms: doc_id, text, n_pii."""
+    found = feistel.pseudonymise(_table(spark, sf_dir, "documents").select("doc_id", "text"), DEMO_KEY)
+    return found.select("doc_id", "text", F.aggregate(F.map_values("pii"), F.lit(0), lambda a, b: a + b).alias("n_pii"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_records": op2_token_records,
     "op4_packing": op4_packing,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
+    "op7_language_id": op7_language_id,
+    "op10_pii_pseudonyms": op10_pii_pseudonyms,
 }
 SQL: dict[str, str] = {}
