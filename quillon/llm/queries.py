@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import feistel, langid, minhash, packing, records
+from . import balltree, feistel, langid, minhash, packing, range_join, records, slots
 from .shared import new_folder
 
 
@@ -32,6 +32,11 @@ def op2_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.read_token_records(spark, folder, manifest)
 
 
+def op3_vector_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of every vector at cosine 0.9: vec_id, n_links, component_id, kept."""
+    return range_join.near_vectors(_table(spark, sf_dir, "embeddings"), cosine=0.9)
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's ids in windows of 2048: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     return packing.pack_documents(_table(spark, sf_dir, "documents"), tokenizer_file(), end_id=1, window=2048).drop("ids")
@@ -51,6 +56,17 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in one of 8 shards of nearly equal bytes: doc_id, size, text_crc32, law, shard, slot, grown_shard."""
+    placed, _ = slots.shard_documents(_table(spark, sf_dir, "documents"), 8, folder=new_folder(spark, "slot-map"))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "vslot")
+
+
+def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 highest integer inner products of each vector whose id 50 divides: query_id, rank, vec_id, score."""
+    return balltree.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 def op10_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its personal numbers and dates as pseudonyms: doc_id, text, n_pii."""
     found = feistel.pseudonymise(_table(spark, sf_dir, "documents").select("doc_id", "text"), DEMO_KEY)
@@ -59,9 +75,12 @@ def op10_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_records": op2_token_records,
+    "op3_vector_range_join": op3_vector_range_join,
     "op4_packing": op4_packing,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
     "op7_language_id": op7_language_id,
+    "op8_virtual_slots": op8_virtual_slots,
+    "op9_top_k": op9_top_k,
     "op10_pii_pseudonyms": op10_pii_pseudonyms,
 }
 SQL: dict[str, str] = {}
