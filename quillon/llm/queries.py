@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import balltree, feistel, langid, minhash, packing, range_join, records, slots
+from . import balltree, feistel, langid, minhash, packing, range_join, records, slots, unigram, url_cascade
 from .shared import new_folder
 
 
@@ -25,6 +25,17 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: (rule, verdict) of the registered query.
+URL_RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
+
+
+def op1_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rule that decides each page's url: page_id, host, path, rule, verdict."""
+    rules = spark.createDataFrame(URL_RULES, "rule string, verdict string")
+    judged = url_cascade.judge_urls(_table(spark, sf_dir, "pages").select("page_id", "url"), rules, otherwise="allow")
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
 def op2_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document in record files, read back: doc_id, start, n_tokens, ids_crc32, file, offset."""
     folder = new_folder(spark, "records")
@@ -42,6 +53,13 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), tokenizer_file(), end_id=1, window=2048).drop("ids")
 
 
+def op5_unigram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document by unigram Viterbi and back: doc_id, n_tokens, n_bytes, ids_crc32, text_back_crc32."""
+    docs, path = _table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model")
+    coded = unigram.round_trip(docs, path)
+    return coded.select("doc_id", "n_tokens", "n_bytes", "ids_crc32", F.crc32(F.encode("decoded", "utf-8")).alias("text_back_crc32"))
+
+
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of every document: doc_id, n_shingles, component_id, kept."""
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), percent=85, width=5)
@@ -74,9 +92,11 @@ def op10_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_url_cascade": op1_url_cascade,
     "op2_token_records": op2_token_records,
     "op3_vector_range_join": op3_vector_range_join,
     "op4_packing": op4_packing,
+    "op5_unigram": op5_unigram,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
     "op7_language_id": op7_language_id,
     "op8_virtual_slots": op8_virtual_slots,
