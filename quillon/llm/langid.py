@@ -144,8 +144,12 @@ def train(labelled: DataFrame, per_language: int = 400, clusters: int = 4) -> Mo
     than that, and fitted in one task. Rows without a language or text are not learned from.
     """
     rows = labelled.filter("lang is not null and text is not null").select("text", "lang", F.xxhash64("text").alias("order"))
+    # A row per language: hashes up to the bound hold four times the sample, so few rows meet to be ranked.
+    sizes = rows.groupBy("lang").agg(F.approx_count_distinct("order").alias("n"))
+    bound = F.least(F.lit(1.0), F.lit(4.0 * per_language) / F.col("n")) * 2.0**64 - 2.0**63
+    low = rows.select("lang", "order").join(F.broadcast(sizes), "lang").filter(F.col("order") <= bound).select("lang", "order")
     # Copies of a text count once, or one large group of them would be all of the sample.
-    ranked = rows.select("lang", "order").distinct().withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("order")))
+    ranked = low.distinct().withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("order")))
     chosen = ranked.filter(F.col("rank") <= per_language).drop("rank")  # per_language rows of each language: broadcast
     sample = rows.join(F.broadcast(chosen), ["lang", "order"]).dropDuplicates(["lang", "order"]).repartition(1)
     got = sample.mapInArrow(partial(_fit_task, clusters=clusters), _MODEL).first()
