@@ -207,7 +207,7 @@ class Kind:
 _DIGIT_KINDS = [
     Kind("iban", r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?(?![A-Za-z0-9])", _iban),
     Kind("secret", r"[0-9A-Fa-f]{32,64}(?![0-9A-Za-z])", _secret),
-    Kind("phone", r"\+\d{1,3}[ .-]?\(\d{2,4}\)[ .-]?\d{2,4}(?:[ .-]?\d{2,4}){1,3}(?!\d)|\+\d{1,3}(?:[ .-]\d{2,4}){2,5}(?!\d)|\+\d{9,15}(?!\d)", _phone),
+    Kind("phone", r"\+\d{1,3}[ .-]?\(\d{2,4}\)[ .-]?\d{2,4}(?:[ .-]?\d{2,4}){1,3}(?!\d)|\+\d{1,3}(?:[ .-]\d{2,8}){2,5}(?!\d)|\+\d{9,15}(?!\d)", _phone),
     Kind("date", r"\d{4}([-/.])\d{2}\1\d{2}(?![\d-])|\d{2}([-/.])\d{2}\2\d{4}(?!\d)", _date),
     Kind("ssn", r"\d{3}-\d{2}-\d{4}(?![\d-])", _ssn),
     Kind("ip", r"\d{1,3}(?:\.\d{1,3}){3}(?!\d|\.\d)", _ip),
@@ -215,7 +215,7 @@ _DIGIT_KINDS = [
 ]
 KINDS = ["email", *(k.name for k in _DIGIT_KINDS)]
 #: What any of the kinds may begin with: a sign, a digit, or letters that a digit follows soon.
-_START = re.compile(r"(?<![0-9A-Za-z])(?:\+?\d|[A-Z]{2}\d{2}|[A-Fa-f]{1,24}\d)")
+_START = re.compile(r"(?<![0-9A-Za-z])(?<!\d\.)(?:\+?\d|[A-Z]{2}\d{2}|[A-Fa-f]{1,24}\d)")
 _AT = [(k, re.compile(k.pattern)) for k in _DIGIT_KINDS]
 _NAME = re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9._%+-]*[A-Za-z0-9])?$")
 _HOST = re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)*\.[A-Za-z]{2,24}(?![A-Za-z0-9])")

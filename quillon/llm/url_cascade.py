@@ -54,7 +54,7 @@ class Cascade:
 
 
 def _positions(bits: int, hashes: int, depth: int, h1: np.ndarray, h2: np.ndarray) -> Iterator[np.ndarray]:
-    a = h1.view(np.uint64) ^ (np.uint64(depth) * np.uint64(0x9E3779B97F4A7C15))
+    a = h1.view(np.uint64) ^ (np.uint64(depth * 0x9E3779B97F4A7C15 % 2**64))
     b = h2.view(np.uint64) | np.uint64(1)
     for i in range(hashes):
         x = a + np.uint64(i) * b
