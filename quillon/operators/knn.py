@@ -57,3 +57,34 @@ def lsh_neighbours(queries: DataFrame, items: DataFrame, distance: float, bucket
     model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=bucket, numHashTables=tables, seed=42).fit(right)
     found = model.approxSimilarityJoin(left, right, distance, "dist")
     return found.select(F.col("datasetA.q_id").alias("q_id"), F.col("datasetB.i_id").alias("i_id"), "dist")
+
+
+#: Left rows of a key that meet its right ones in one task; more are dealt over several.
+CHUNK = 20_000
+
+
+def _closest(key: tuple, left: pd.DataFrame, right: pd.DataFrame, exclude_self: bool) -> pd.DataFrame:
+    if left.empty or right.empty:
+        return pd.DataFrame({"key": pd.Series(dtype="int64"), "id": pd.Series(dtype="int64"), "best": pd.Series(dtype="float64"), "n": pd.Series(dtype="int64")})
+    right = right.sort_values("other")
+    sims = np.stack(left["vec"].to_numpy()).astype(np.float64) @ np.stack(right["other_vec"].to_numpy()).astype(np.float64).T
+    n = np.full(len(left), len(right))
+    if exclude_self:
+        same = left["id"].to_numpy()[:, None] == right["other"].to_numpy()[None]
+        sims[same] = -np.inf
+        n = n - same.sum(axis=1)
+    return pd.DataFrame({"key": key[0], "id": left["id"].to_numpy(), "best": sims.max(axis=1), "n": n})[n > 0]
+
+
+def closest(left: DataFrame, right: DataFrame, exclude_self: bool = False) -> DataFrame:
+    """key, id, best, n: for each (key, id, vec) of ``left`` the highest inner product with a vector of its key in
+    ``right`` (key, other, other_vec), and how many there are; rows without any are left out.
+
+    ``right`` holds a capped number of rows per key. A key with many left rows is dealt over several tasks, to each
+    of which its right rows go.
+    """
+    chunks = left.groupBy("key").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
+    dealt = left.join(chunks, "key").select("key", "id", "vec", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int").alias("chunk"))
+    spread = right.join(chunks, "key").select("key", "other", "other_vec", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
+    met = dealt.groupBy("key", "chunk").cogroup(spread.groupBy("key", "chunk"))
+    return met.applyInPandas(partial(_closest, exclude_self=exclude_self), "key long, id long, best double, n long")

@@ -21,7 +21,7 @@ def draw(seed: int, *keys: str) -> Column:
     """A number for each key that orders them as if at random; arithmetic, so that other engines find it too."""
     mixed = F.lit(seed).cast("long")
     for k in keys:
-        mixed = (mixed * 31 + F.col(k).cast("long")) * 2654435761 % 4294967291
+        mixed = (mixed * 31 + F.col(k).cast("long")) % 4294967291 * 1103515245 % 4294967291
     return mixed
 
 

@@ -177,7 +177,7 @@ def guided_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def popularity_draw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(mining.popularity_draw(b.items(spark, sf_dir), b.clicks(spark, sf_dir), 100))
+    return _rounded(mining.popularity_draw(b.items(spark, sf_dir), b.clicks(spark, sf_dir), 100).drop("n"))
 
 
 def mined_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -197,12 +197,12 @@ def mined_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 def clean_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = b.items(spark, sf_dir).withColumn("text", features.item_text("title", "category", "brand", "attributes"))
     v = b.pairs(spark, sf_dir).join(b.term_vectors(spark, sf_dir).toDF("term_id", "q"), "term_id").join(b.item_vectors(spark, sf_dir).toDF("item_id", "i"), "item_id")
-    rows = v.select("term_id", "item_id", "label", F.round(dot(F.col("q"), F.col("i")), 9).alias("cos"))
-    return _rounded(mining.clean_negatives(rows, b.terms(spark, sf_dir), i, "text"))
+    rows = v.select("term_id", "item_id", "label", F.round(dot(F.col("q"), F.col("i")), 6).alias("cos"))
+    return (mining.clean_negatives(rows, b.terms(spark, sf_dir), i, "text"))
 
 
 def synonym_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mining.mine_synonyms(_neighbours(spark, sf_dir, 8), b.terms(spark, sf_dir), b.clicks(spark, sf_dir), support=2)
+    return mining.mine_synonyms(_neighbours(spark, sf_dir, 8), b.terms(spark, sf_dir), b.clicks(spark, sf_dir), twin=0.25, support=2)
 
 
 def hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -305,7 +305,7 @@ def _share(value: str) -> str:
     return f"(SELECT term_id, value, sum(w) / any_value(total) AS s FROM w JOIN (SELECT DISTINCT term_id AS nb, {value} AS value FROM clicks JOIN items USING (item_id)) USING (nb) JOIN tw USING (term_id) GROUP BY term_id, value)"
 
 
-_DRAW = "((({0} * 31 + {1}) * 2654435761) % 4294967291)"
+_DRAW = "((({0} * 31 + {1}) % 4294967291 * 1103515245) % 4294967291)"
 
 
 def _draw(seed: int, *keys: str) -> str:
@@ -318,7 +318,7 @@ def _draw(seed: int, *keys: str) -> str:
 _HIST = f"""{_FULL}, {_W}, cells AS (SELECT term_id, item_id, w FROM w JOIN (SELECT term_id AS nb, item_id FROM clicks) USING (nb)),
   sums AS (SELECT term_id, dim, value, sum(w) AS s FROM cells JOIN (SELECT item_id, 'leaf' AS dim, category AS value FROM items UNION ALL SELECT item_id, 'l1', split_part(category, '/', 1) FROM items UNION ALL SELECT item_id, 'gender', gender FROM items) USING (item_id) GROUP BY ALL),
   hist AS (SELECT term_id, dim, value, s / (SELECT CASE WHEN sum(s) > 0 THEN sum(s) ELSE 1 END FROM sums t WHERE t.term_id = x.term_id AND t.dim = 'leaf') AS p FROM sums x)"""
-_FIRST = "(SELECT * FROM (SELECT term_id, item_id, row_number() OVER (PARTITION BY term_id ORDER BY item_id) AS at FROM {0}) WHERE at <= {1})"
+_FIRST = "(SELECT * FROM (SELECT term_id, item_id, row_number() OVER (PARTITION BY term_id ORDER BY item_id) AS pos FROM {0}) WHERE pos <= {1})"
 _SYN_ROWS = "(VALUES ('ring', 'gear'), ('gear', 'ring'), ('red', 'hot'), ('hot', 'red'), ('kadın', 'erkek'), ('erkek', 'kadın')) AS v(w, x)"
 _NB = {8: f"{BASE}, {knn_sql(8)}"}
 
@@ -338,8 +338,8 @@ SQL = {
       round((rank() OVER (PARTITION BY user_id ORDER BY v) + (count(*) OVER (PARTITION BY user_id, v) - 1) / 2) / n, 6) AS v_pct, round((v - avg(v) OVER (PARTITION BY user_id)) / (coalesce(stddev_samp(v) OVER (PARTITION BY user_id), 0) + 1e-6), 6) AS v_z,
       round((rank() OVER (PARTITION BY user_id ORDER BY w) + (count(*) OVER (PARTITION BY user_id, w) - 1) / 2) / n, 6) AS w_pct, round((w - avg(w) OVER (PARTITION BY user_id)) / (coalesce(stddev_samp(w) OVER (PARTITION BY user_id), 0) + 1e-6), 6) AS w_z FROM s""",
     "top_per_group": "SELECT * FROM (SELECT event_id, user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id)::INT AS rank FROM events) WHERE rank <= 3",
-    "least_positives": """WITH e AS (SELECT event_id, user_id, value, (value > 60)::INT AS y, event_type = 'error' AS no FROM events), s AS (SELECT *, greatest(5 - sum(y) OVER (PARTITION BY user_id), 0) AS missing, row_number() OVER (PARTITION BY user_id, (y = 0 AND NOT no) ORDER BY value DESC, event_id) AS at FROM e)
-      SELECT event_id, CASE WHEN y = 0 AND NOT no AND at <= missing THEN 1 ELSE y END AS y FROM s""",
+    "least_positives": """WITH e AS (SELECT event_id, user_id, value, (value > 60)::INT AS y, event_type = 'error' AS no FROM events), s AS (SELECT *, greatest(5 - sum(y) OVER (PARTITION BY user_id), 0) AS missing, row_number() OVER (PARTITION BY user_id, (y = 0 AND NOT no) ORDER BY value DESC, event_id) AS pos FROM e)
+      SELECT event_id, CASE WHEN y = 0 AND NOT no AND pos <= missing THEN 1 ELSE y END AS y FROM s""",
     "top_share": "SELECT event_id, value FROM events ORDER BY value DESC, event_id LIMIT (SELECT floor(count(*) * 0.08)::BIGINT FROM events)",
     "channel_texts": f"""{_CTX}, q AS (SELECT term_id, query, {token_set('query')} AS q FROM terms), i AS (SELECT item_id, title, gender, age_group, {token_set("title || ' ' || category || ' ' || brand || ' ' || attributes")} AS i FROM items),
       h AS (SELECT term_id, item_id, len(q) AS n, {inter('q', 'i')} AS o, q, i, query, CASE WHEN regexp_matches(query, 'kadın|bayan') THEN 1 WHEN contains(query, ' erkek') THEN 2 ELSE 0 END AS qg, CASE gender WHEN 'kadın' THEN 1 WHEN 'erkek' THEN 2 WHEN 'unisex' THEN 3 ELSE CASE WHEN contains(title, 'kadın') THEN 1 WHEN contains(title, 'erkek') THEN 2 ELSE 0 END END AS ig,
@@ -356,31 +356,31 @@ SQL = {
     "cf_similarity": f"""{_FULL}, {_W}, held AS {_FIRST.format(f"(SELECT DISTINCT w.term_id, c.item_id FROM w JOIN {_FIRST.format('clicks', 60)} c ON c.term_id = nb WHERE rank <= 6)", 48)},
       cf AS (SELECT p.term_id, p.item_id, max({b.dot('a.vec', 'h.vec')}) AS cf FROM pairs p JOIN item_vectors a USING (item_id) JOIN held ON held.term_id = p.term_id JOIN item_vectors h ON h.item_id = held.item_id GROUP BY ALL)
       SELECT term_id, item_id, round(coalesce(cf, 0), 6) AS cf FROM pairs LEFT JOIN cf USING (term_id, item_id)""",
-    "cf_two_hop": f"""{_FULL}, {_W}, one AS (SELECT DISTINCT w.term_id, c.item_id FROM w JOIN {_FIRST.format('clicks', 12)} c ON c.term_id = nb WHERE rank <= 4), who AS (SELECT item_id, term_id AS mid FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY term_id) AS at FROM clicks) WHERE at <= 20),
+    "cf_two_hop": f"""{_FULL}, {_W}, one AS (SELECT DISTINCT w.term_id, c.item_id FROM w JOIN {_FIRST.format('clicks', 12)} c ON c.term_id = nb WHERE rank <= 4), who AS (SELECT item_id, term_id AS mid FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY term_id) AS pos FROM clicks) WHERE pos <= 20),
       mids AS (SELECT DISTINCT term_id, mid FROM one JOIN who USING (item_id)) SELECT term_id, item_id FROM {_FIRST.format(f"(SELECT DISTINCT m.term_id, c.item_id FROM mids m JOIN {_FIRST.format('clicks', 8)} c ON c.term_id = mid)", 80)}""",
-    "item_clickers": f"""{BASE}, who AS (SELECT item_id, term_id AS who FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY term_id) AS at FROM clicks) WHERE at <= 50),
+    "item_clickers": f"""{BASE}, who AS (SELECT item_id, term_id AS who FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY term_id) AS pos FROM clicks) WHERE pos <= 50),
       m AS (SELECT p.term_id, p.item_id, ln(1 + count(*)) AS n, max({b.dot('a.vec', 'w.vec')}) AS s FROM pairs p JOIN who USING (item_id) JOIN term_vectors a ON a.term_id = p.term_id JOIN term_vectors w ON w.term_id = who WHERE who <> p.term_id GROUP BY ALL)
       SELECT term_id, item_id, round(coalesce(n, 0), 6) AS item_breadth, round(coalesce(s, 0), 6) AS item_maxsim FROM pairs LEFT JOIN m USING (term_id, item_id)""",
     "item_votes": f"""{_FULL}, v AS (SELECT q_id AS term_id, item_id, count(*) AS n FROM knn JOIN clicks ON clicks.term_id = i_id GROUP BY ALL), t AS (SELECT q_id AS term_id, count(*) AS k, avg(sim) AS m FROM knn GROUP BY 1)
       SELECT term_id, item_id, coalesce(n, 0) AS knn_item_pos_cnt, round(coalesce(n, 0) / k, 6) AS knn_item_pos_frac, round(m, 6) AS knn_sim_mean FROM pairs LEFT JOIN v USING (term_id, item_id) JOIN t USING (term_id)""",
-    "title_transfer": f"""{BASE}, k AS (SELECT item_id, trim(regexp_replace({norm('title')}, '\\s+', ' ', 'g')) AS title_key FROM items), who AS (SELECT title_key, term_id AS who FROM (SELECT *, row_number() OVER (PARTITION BY title_key ORDER BY term_id) AS at FROM (SELECT DISTINCT title_key, term_id FROM clicks JOIN k USING (item_id))) WHERE at <= 50),
+    "title_transfer": f"""{BASE}, k AS (SELECT item_id, trim(regexp_replace({norm('title')}, '\\s+', ' ', 'g')) AS title_key FROM items), who AS (SELECT title_key, term_id AS who FROM (SELECT *, row_number() OVER (PARTITION BY title_key ORDER BY term_id) AS pos FROM (SELECT DISTINCT title_key, term_id FROM clicks JOIN k USING (item_id))) WHERE pos <= 50),
       m AS (SELECT t.term_id, title_key, max({b.dot('t.vec', 'w.vec')}) AS s FROM (SELECT DISTINCT term_id, title_key FROM pairs JOIN k USING (item_id)) d JOIN who USING (title_key) JOIN term_vectors t ON t.term_id = d.term_id JOIN term_vectors w ON w.term_id = who GROUP BY ALL)
       SELECT term_id, item_id, title_key, round(coalesce(s, 0), 6) AS tts FROM pairs JOIN k USING (item_id) LEFT JOIN m USING (term_id, title_key)""",
     "negative_quota": """WITH clicks AS (SELECT DISTINCT o_custkey AS term_id, l_partkey AS item_id FROM lineitem JOIN orders ON l_orderkey = o_orderkey), n AS (SELECT term_id, count(*) AS n_pos, least(greatest(count(*) * 6, 20), 150)::INT AS quota FROM clicks GROUP BY term_id),
-      g AS (SELECT *, CASE WHEN n_pos <= 2 THEN round_even(quota * 0.15, 0) ELSE 0 END::INT AS llm_guided FROM n), s AS (SELECT *, round_even((quota - llm_guided) * 0.35, 0)::INT AS dense_ann, round_even((quota - llm_guided) * 0.25, 0)::INT AS lexical, round_even((quota - llm_guided) * 0.2, 0)::INT AS category_sibling FROM g)
+      g AS (SELECT *, CASE WHEN n_pos <= 2 THEN round_even(quota * 0.15::DOUBLE, 0) ELSE 0 END::INT AS llm_guided FROM n), s AS (SELECT *, round_even((quota - llm_guided) * 0.35::DOUBLE, 0)::INT AS dense_ann, round_even((quota - llm_guided) * 0.25::DOUBLE, 0)::INT AS lexical, round_even((quota - llm_guided) * 0.2::DOUBLE, 0)::INT AS category_sibling FROM g)
       SELECT *, quota - llm_guided - dense_ann - lexical - category_sibling AS popularity_random FROM s""",
-    "lexical_candidates": f"""{_CTX}, posts AS (SELECT item_id, unnest({uniq_tok(_ITEM_TEXT)}) AS token FROM items), d AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY token ORDER BY {_draw(42, 'item_id')}, item_id) AS at FROM posts) WHERE at <= 20),
+    "lexical_candidates": f"""{_CTX}, posts AS (SELECT item_id, unnest({uniq_tok(_ITEM_TEXT)}) AS token FROM items), d AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY token ORDER BY {_draw(42, 'item_id')}, item_id) AS pos FROM posts) WHERE pos <= 20),
       f AS (SELECT DISTINCT term_id, item_id FROM (SELECT term_id, unnest({uniq_tok('query')}) AS token FROM terms) JOIN d USING (token)) SELECT term_id, item_id, {_draw(43, 'term_id', 'item_id')} AS "order" FROM f""",
-    "category_siblings": f"""{_CTX}, d AS (SELECT * FROM (SELECT category, item_id, row_number() OVER (PARTITION BY category ORDER BY {_draw(42, 'item_id')}, item_id) AS at FROM items) WHERE at <= 4), f AS (SELECT DISTINCT term_id, d.item_id FROM (SELECT DISTINCT term_id, category FROM clicks JOIN items USING (item_id)) JOIN d USING (category))
+    "category_siblings": f"""{_CTX}, d AS (SELECT * FROM (SELECT category, item_id, row_number() OVER (PARTITION BY category ORDER BY {_draw(42, 'item_id')}, item_id) AS pos FROM items) WHERE pos <= 4), f AS (SELECT DISTINCT term_id, d.item_id FROM (SELECT DISTINCT term_id, category FROM clicks JOIN items USING (item_id)) JOIN d USING (category))
       SELECT term_id, item_id, {_draw(44, 'term_id', 'item_id')} AS "order" FROM f ANTI JOIN clicks USING (term_id, item_id)""",
-    "guided_candidates": f"""{_CTX}, d AS (SELECT * FROM (SELECT category, item_id, row_number() OVER (PARTITION BY category ORDER BY {_draw(42, 'item_id')}, item_id) AS at FROM items) WHERE at <= 4), g AS (SELECT term_id, category FROM terms JOIN items ON item_id = term_id),
+    "guided_candidates": f"""{_CTX}, d AS (SELECT * FROM (SELECT category, item_id, row_number() OVER (PARTITION BY category ORDER BY {_draw(42, 'item_id')}, item_id) AS pos FROM items) WHERE pos <= 4), g AS (SELECT term_id, category FROM terms JOIN items ON item_id = term_id),
       f AS (SELECT DISTINCT term_id, d.item_id FROM (SELECT * FROM g ANTI JOIN (SELECT DISTINCT term_id, category FROM clicks JOIN items USING (item_id)) USING (term_id, category)) JOIN d USING (category)) SELECT term_id, item_id, {_draw(45, 'term_id', 'item_id')} AS "order" FROM f""",
     "popularity_draw": f"""{_CTX}, k AS (SELECT items.item_id, ln(1 + coalesce(n, 0)) + 1 AS weight, ({_draw(42, 'items.item_id')}::DOUBLE + 1) / 4294967292.0::DOUBLE AS u FROM items LEFT JOIN (SELECT item_id, count(*) AS n FROM clicks GROUP BY 1) USING (item_id)), r AS (SELECT item_id, weight, round(-ln(u) / weight, 9) AS key FROM k)
       SELECT item_id, round(weight, 6) AS weight, round(key, 6) AS key, (row_number() OVER (ORDER BY key, item_id))::INT AS rank FROM r QUALIFY rank <= 100""",
-    "clean_negatives": f"""{BASE}, c AS (SELECT term_id, item_id, label, round({b.dot('q.vec', 'i.vec')}, 9) AS cos FROM pairs JOIN term_vectors q USING (term_id) JOIN item_vectors i USING (item_id)),
+    "clean_negatives": f"""{BASE}, c AS (SELECT term_id, item_id, label, round({b.dot('q.vec', 'i.vec')}, 6) AS cos FROM pairs JOIN term_vectors q USING (term_id) JOIN item_vectors i USING (item_id)),
       t AS (SELECT c.*, {token_set('query')} AS q, {token_set("title || ' ' || category || ' ' || brand || ' ' || attributes")} AS i FROM c JOIN terms USING (term_id) JOIN items USING (item_id))
-      SELECT term_id, item_id, label, round(cos, 6) AS cos FROM t WHERE NOT (label = 0 AND (len(list_intersect(q, i)) = len(q) OR cos >= (SELECT quantile_cont(cos, 0.75) FROM c WHERE label = 1)))""",
-    "synonym_pairs": f"""{_NB[8]}, tk AS (SELECT term_id, {uniq_tok('query')} AS t FROM terms), p AS (SELECT q_id AS a, i_id AS b, list_filter(x.t, lambda w: NOT list_contains(y.t, w)) AS da, list_filter(y.t, lambda w: NOT list_contains(x.t, w)) AS db FROM knn JOIN tk x ON x.term_id = q_id JOIN tk y ON y.term_id = i_id WHERE sim >= 0.9),
+      SELECT term_id, item_id, label, cos FROM t WHERE NOT (label = 0 AND (len(list_intersect(q, i)) = len(q) OR cos >= (SELECT quantile_cont(cos, 0.75) FROM c WHERE label = 1)))""",
+    "synonym_pairs": f"""{_NB[8]}, tk AS (SELECT term_id, {uniq_tok('query')} AS t FROM terms), p AS (SELECT q_id AS a, i_id AS b, list_filter(x.t, lambda w: NOT list_contains(y.t, w)) AS da, list_filter(y.t, lambda w: NOT list_contains(x.t, w)) AS db FROM knn JOIN tk x ON x.term_id = q_id JOIN tk y ON y.term_id = i_id WHERE sim >= 0.25),
       o AS (SELECT a, b, da[1] AS x, db[1] AS y FROM p WHERE len(da) = 1 AND len(db) = 1 AND length(da[1]) >= 3 AND length(db[1]) >= 3), s AS (SELECT DISTINCT ca.term_id AS a, cb.term_id AS b FROM o JOIN clicks ca ON ca.term_id = a JOIN clicks cb ON cb.term_id = b AND cb.item_id = ca.item_id),
       k AS (SELECT o.* FROM o LEFT JOIN (SELECT *, true AS hit FROM s) USING (a, b) WHERE hit OR a NOT IN (SELECT term_id FROM clicks) OR b NOT IN (SELECT term_id FROM clicks)),
       g AS (SELECT least(x, y) AS tok_a, greatest(x, y) AS tok_b, count(*) AS support FROM k GROUP BY 1, 2 HAVING count(*) >= 2), z AS (SELECT *, list_distinct(list_transform(range(1, length(tok_a)), lambda i: substring(tok_a, i::BIGINT, 2))) AS ga, list_distinct(list_transform(range(1, length(tok_b)), lambda i: substring(tok_b, i::BIGINT, 2))) AS gb FROM g)
