@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import balltree, feistel, langid, minhash, packing, range_join, records, slots, unigram, url_cascade
+from . import balltree, feistel, langid, minhash, oracle, packing, range_join, records, slots, unigram, url_cascade
 from .shared import new_folder
 
 
@@ -103,4 +103,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_top_k": op9_top_k,
     "op10_pii_pseudonyms": op10_pii_pseudonyms,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op1_url_cascade": oracle.url_sql(URL_RULES, "allow"),
+    "op3_vector_range_join": oracle.vector_sql(0.9),
+    "op6_minhash_near_dedup": oracle.near_sql(85, 5),
+    "op9_top_k": oracle.top_sql(50, 5, 256),
+}
