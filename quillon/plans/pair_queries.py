@@ -100,12 +100,12 @@ def _neighbours(spark: SparkSession, sf_dir: str, k: int = 10) -> DataFrame:
 
 
 def knn_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(_neighbours(spark, sf_dir))
+    return _neighbours(spark, sf_dir)
 
 
 def knn_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    return _rounded(knn.knn(e.toDF("q_id", "q_vec"), e.toDF("i_id", "i_vec"), 10, exclude_self=True))
+    return knn.knn(e.toDF("q_id", "q_vec"), e.toDF("i_id", "i_vec"), 10, exclude_self=True)
 
 
 def vector_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -346,8 +346,8 @@ SQL = {
         CASE WHEN contains(query, 'bebek') THEN 1 WHEN contains(query, 'çocuk') THEN 2 ELSE 0 END AS qa, age_group = 'yetişkin' AS adult FROM pairs JOIN q USING (term_id) JOIN i USING (item_id)),
       y AS (SELECT w, list(x) AS near FROM {_SYN_ROWS} GROUP BY w), hs AS (SELECT term_id, item_id, count(*) AS hs FROM (SELECT term_id, item_id, i, unnest(q) AS w FROM h) LEFT JOIN y USING (w) WHERE list_contains(i, w) OR coalesce(len(list_intersect(near, i)) > 0, false) GROUP BY ALL)
       SELECT term_id, item_id, round(o / n, 6) AS recall, o = n AS contain, len(string_split(trim(query), ' ')) AS qlen, ((qg = 1 AND ig = 2) OR (qg = 2 AND ig = 1))::INT AS gcon, (qa > 0 AND adult)::INT AS acon, round(coalesce(hs, 0) / n, 6) AS recall_syn, (coalesce(hs, 0) = n)::INT AS contain_syn FROM h LEFT JOIN hs USING (term_id, item_id)""",
-    "knn_terms": f"{_FULL} SELECT q_id, i_id, round(sim, 6) AS sim, rank::INT AS rank FROM knn",
-    "knn_vectors": f"SELECT q_id, i_id, round(sim, 6) AS sim, rank::INT AS rank FROM (SELECT q.vec_id AS q_id, i.vec_id AS i_id, round({b.dot('q.embedding', 'i.embedding')}, 9) AS sim, row_number() OVER (PARTITION BY q.vec_id ORDER BY round({b.dot('q.embedding', 'i.embedding')}, 9) DESC, i.vec_id) AS rank FROM embeddings q JOIN embeddings i ON q.vec_id <> i.vec_id) WHERE rank <= 10",
+    "knn_terms": f"{_FULL} SELECT q_id, i_id, sim, rank::INT AS rank FROM knn",
+    "knn_vectors": f"SELECT q_id, i_id, sim, rank::INT AS rank FROM (SELECT q.vec_id AS q_id, i.vec_id AS i_id, round({b.dot('q.embedding', 'i.embedding')}, 9) AS sim, row_number() OVER (PARTITION BY q.vec_id ORDER BY round({b.dot('q.embedding', 'i.embedding')}, 9) DESC, i.vec_id) AS rank FROM embeddings q JOIN embeddings i ON q.vec_id <> i.vec_id) WHERE rank <= 10",
     "vector_functions": "SELECT vec_id, round(list_inner_product(v, v), 6) AS square, round(v[1] / (sqrt(list_inner_product(v, v)) + 1e-9), 6) AS first, round(v[1] / (sqrt(list_inner_product(v[1:8], v[1:8])) + 1e-9), 6) AS short_first FROM (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings)",
     "neighbour_shares": f"{_FULL}, {_W} SELECT term_id, item_id, round(coalesce(c.s, 0), 6) AS catw, round(coalesce(d.s, 0), 6) AS brandw FROM pairs JOIN items USING (item_id) LEFT JOIN {_share('category')} c ON c.term_id = pairs.term_id AND c.value = category LEFT JOIN {_share('brand')} d ON d.term_id = pairs.term_id AND d.value = brand".replace("SELECT term_id, item_id, round(coalesce(c.s", "SELECT pairs.term_id, item_id, round(coalesce(c.s"),
     "term_stats": f"{_FULL}, {_W}, n AS (SELECT term_id AS nb, count(*) AS n FROM clicks GROUP BY 1) SELECT term_id, round(max(sim), 6) AS top1, count(*) FILTER (sim >= 0.9) AS twin_density, round(avg(w), 6) AS nb_mean, round(ln(1 + sum(w * n) / any_value(total)), 6) AS exp_pos FROM w JOIN n USING (nb) JOIN tw USING (term_id) GROUP BY term_id",

@@ -61,7 +61,7 @@ def fill_text(df: DataFrame) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).csv(path)
+    df.write.mode("overwrite").option("header", True).option("escape", "\"").csv(path)
 
 
 def write_swapped(df: DataFrame, path: str, keep_backup: bool = True) -> None:
