@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import os
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import partial
 
@@ -27,7 +28,7 @@ class WordEncoder:
     whatever the texts hold.
     """
 
-    def __init__(self, path: str, most_words: int = 700_000):
+    def __init__(self, path: str, most_words: int = 1_200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one thread: the cores belong to Spark's tasks
         from tokenizers import Tokenizer
 
@@ -35,7 +36,11 @@ class WordEncoder:
         self.most_words = most_words
         self.words: dict[bytes, bytes] = {}
         with open(path, encoding="utf-8") as f:
-            self.by_chunk = _drops_space(json.load(f))
+            spec = json.load(f)
+        self.by_chunk = _drops_space(spec)
+        # Where the splitter keeps words of letters and bytes stand for themselves, a word is a piece of its own.
+        steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or []
+        self.plain = self.by_chunk and [x.get("type") for x in steps] == ["Split", "ByteLevel"] and r"[\p{L}]+" in steps[0]["pattern"]["Regex"].split("|") and not steps[1].get("add_prefix_space")
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -55,8 +60,15 @@ class WordEncoder:
             for x in (base, end):
                 if x and x not in words:
                     asked[x] = None
-        asked = list(asked)
-        words.update(zip(asked, self._ids([x.decode() for x in asked]), strict=True))
+        # Lower-case ASCII letters pass the vocabulary's normaliser and splitter as they are: their merges are all there is.
+        one = self.tokenizer.model.tokenize
+        rest = []
+        for x in asked:
+            if self.plain and x.isalpha():
+                words[x] = array("I", [t.id for t in one(x.decode())]).tobytes()
+            else:
+                rest.append(x)
+        words.update(zip(rest, self._ids([x.decode() for x in rest]), strict=True))
         for c, base, end in plan:
             if c not in words:
                 words[c] = words[base] + (words[end] if end else b"")
