@@ -22,6 +22,9 @@ from .shared import plain_strings, text_bytes, text_runs
 DIMENSIONS = 8192
 ORDERS = (2, 3)
 UNKNOWN = "und"
+#: The floor of a best cosine, as a share of what all but one in 500 training texts reach: clean texts of a few words
+#: lie at less than half of it, texts of other scripts at less than a tenth.
+FLOOR = 0.3
 _MODEL = "langs array<string>, lang_of array<int>, centroids binary, idf binary, floor double"
 
 
@@ -122,7 +125,7 @@ def fit(texts: pa.Array, langs: list[str], clusters: int, rounds: int = 8) -> Mo
         centroids.append(centre)
         owner += [k] * len(centre)
     # Clean texts of a few words lie far out too: the floor is well below what nearly all training texts reach.
-    floor = 0.5 * float(np.quantile(np.concatenate(own_best), 0.002))
+    floor = FLOOR * float(np.quantile(np.concatenate(own_best), 0.002))
     return Model(names, np.array(owner), np.concatenate(centroids).astype(np.float64), idf, floor)
 
 
