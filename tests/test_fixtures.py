@@ -10,8 +10,8 @@ from quillon.operators import corrections, features, knn, metrics, mining, model
 from quillon.sources import tables
 
 ITEMS = [
-    ("I1", "Kadın Spor Ayakkabı Beyaz", "ayakkabı/spor ayakkabı/sneaker", "Trendyol Milla", "kadın", "yetiskin", "renk: beyaz, materyal: pamuklu"),
-    ("I2", "Erkek Kot Pantolon Mavi", "giyim/pantolon/kot pantolon", "LC Waikiki", "erkek", "yetiskin", "renk: mavi, materyal: kot"),
+    ("I1", "Kadın Spor Ayakkabı Beyaz", "ayakkabı/spor ayakkabı/sneaker", "Beyaz Milla", "kadın", "yetiskin", "renk: beyaz, materyal: pamuklu"),
+    ("I2", "Erkek Kot Pantolon Mavi", "giyim/pantolon/kot pantolon", "Mavi Kot Evi", "erkek", "yetiskin", "renk: mavi, materyal: kot"),
     ("I3", "Multivitamin 60 Tablet", "süpermarket/sağlık/vitamin", "Solgar", "unknown", "unknown", None),
     ("I4", "Nike Air Force Sneaker Beyaz", "ayakkabı/spor ayakkabı/sneaker", "Nike", "unisex", "yetiskin", "renk: beyaz"),
 ]
