@@ -153,7 +153,7 @@ def mine_synonyms(neighbours: DataFrame, terms: DataFrame, clicks: DataFrame, tw
     pairs = neighbours.filter(F.col("sim") >= twin).select(F.col("q_id").alias("a"), F.col("i_id").alias("b"))
     told = pairs.join(tokens.toDF("a", "ta"), "a").join(tokens.toDF("b", "tb"), "b")
     only_a, only_b = F.array_except("ta", "tb"), F.array_except("tb", "ta")
-    one = told.filter((F.size(only_a) == 1) & (F.size(only_b) == 1)).select("a", "b", F.element_at(only_a, 1).alias("x"), F.element_at(only_b, 1).alias("y"))
+    one = told.filter((F.size(only_a) == 1) & (F.size(only_b) == 1)).select("a", "b", F.get(only_a, 0).alias("x"), F.get(only_b, 0).alias("y"))
     one = one.filter((F.length("x") >= 3) & (F.length("y") >= 3))
     shared = one.select("a", "b").distinct().join(clicks.toDF("a", "item"), "a").join(clicks.toDF("b", "item"), ["b", "item"]).select("a", "b").distinct().withColumn("shared", F.lit(True))
     active = clicks.select("term_id").distinct()

@@ -53,6 +53,19 @@ def preflight(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _six(metrics.preflight(rows, "now", "before", "p", "clicks"))
 
 
+def rate_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decisions at one half, and those of the highest 30% of the scores."""
+    rows = metrics.decide_at_rate(b.scored(spark, sf_dir).select("doc_id", "p"), "p", 0.3, "by_rate")
+    return rows.select("doc_id", (F.col("p") >= 0.5).cast("int").alias("by_half"), "by_rate")
+
+
+def top_contributions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The two features of three that move each document's linear score most."""
+    rows = b.scored(spark, sf_dir).select("doc_id", "p", "q", (F.col("doc_id") % 10 / 10.0).alias("r"))
+    told = model.contributions(rows, {"p": 1.5, "q": -2.0, "r": 0.5}, 2).select("doc_id", F.posexplode("contributions").alias("at", "c"))
+    return _six(told.select("doc_id", (F.col("at") + 1).alias("rank"), "c.feature", "c.contribution", "c.value"))
+
+
 def rates_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     return _six(e.groupBy("event_type").agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.median("value").alias("median")))
@@ -84,7 +97,7 @@ def ensemble_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return model.out_of_fold(rows.select("term_id", "item_id", "label", "fold", *names), names, "label", "fold", "p", folds=2, depth=3, rounds=5).select("term_id", "item_id", "label", F.round("p", 6).alias("p"))
 
 
-QUERIES = {f.__name__: f for f in (macro_f1, threshold_scan, best_threshold, rate_threshold, quantile_grid, decile_rates, auc_rank_sum, blend_grid, preflight, rates_by_source, reciprocal_rank, click_distribution, balanced_folds, ensemble_scores)}
+QUERIES = {f.__name__: f for f in (macro_f1, threshold_scan, best_threshold, rate_threshold, quantile_grid, decile_rates, auc_rank_sum, blend_grid, preflight, rate_decisions, top_contributions, rates_by_source, reciprocal_rank, click_distribution, balanced_folds, ensemble_scores)}
 
 _F1 = "CASE WHEN 2 * {0} + {1} + {2} > 0 THEN 2 * {0} / (2 * {0} + {1} + {2})::DOUBLE ELSE 0 END"
 
@@ -111,6 +124,10 @@ SQL = {
       SELECT a || '/' || b || '/' || c AS weights, round({_macro('tp', 'fp', 'fn', 'tn')}, 6) AS macro_f1 FROM n""",
     "preflight": f"""{_W}, r AS (SELECT p, (p >= 0.4)::INT AS now, (p >= 0.35)::INT AS before, doc_id % 17 + 1 AS clicks FROM scored), c AS (SELECT avg(now) AS rate, avg((now = before)::INT) AS agreement, median(clicks) FILTER (now = 1) / median(clicks) FILTER (before = 1) AS click_ratio, avg(p) FILTER (now = 1) AS head FROM r)
       SELECT round(rate, 6) AS rate, round(agreement, 6) AS agreement, round(click_ratio, 6) AS click_ratio, round(head, 6) AS head, rate BETWEEN 0.26 AND 0.30 AS rate_ok, agreement BETWEEN 0.80 AND 0.95 AS agreement_ok, click_ratio >= 0.6 AS click_ok, head >= 0.8 AS head_ok FROM c""",
+    "rate_decisions": f"{_W} SELECT doc_id, (p >= 0.5)::INT AS by_half, (p >= (SELECT quantile_cont(p, 0.7) FROM scored))::INT AS by_rate FROM scored",
+    "top_contributions": f"""{_W}, r AS (SELECT doc_id, p, q, (doc_id % 10) / 10.0::DOUBLE AS r FROM scored), m AS (SELECT avg(p) AS mp, avg(q) AS mq, avg(r) AS mr FROM r),
+      c AS (SELECT doc_id, 'p' AS feature, 1.5::DOUBLE * (p - mp) AS x, p AS v FROM r, m UNION ALL SELECT doc_id, 'q', -2.0::DOUBLE * (q - mq), q FROM r, m UNION ALL SELECT doc_id, 'r', 0.5::DOUBLE * (r - mr), r FROM r, m)
+      SELECT * FROM (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY abs(x) DESC, feature)::INT AS rank, feature, round(x, 6) AS contribution, round(v, 6) AS value FROM c) WHERE rank <= 2""",
     "rates_by_source": "SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean, round(median(value), 6) AS median FROM events GROUP BY event_type",
     "reciprocal_rank": """WITH r AS (SELECT user_id, event_type = 'error' AS hit, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS rank FROM events), f AS (SELECT user_id, min(rank) FILTER (hit AND rank <= 10) AS first FROM r WHERE rank <= 10 GROUP BY user_id)
       SELECT round(avg(coalesce(1.0::DOUBLE / first, 0)), 6) AS mrr_10, round(avg((coalesce(first, 0) = 1)::INT), 6) AS accuracy_1, round(avg((first IS NOT NULL)::INT), 6) AS accuracy_10 FROM f""",

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import vocab
 from ..functions.text import normalize, squeeze
 from ..functions.vectors import dot, head, unit
-from ..operators import corrections, features, graph, knn, mining, popularity, sets, windows
+from ..operators import corrections, enrich, features, graph, knn, mining, popularity, sets, windows
 from . import bindings as b
 from .bindings import BASE, inter, knn_sql, norm, table, tok, token_set, uniq_tok
 from .text_queries import _intent, _list, _sizes, _stem, _synonyms
@@ -205,6 +205,14 @@ def synonym_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mining.mine_synonyms(_neighbours(spark, sf_dir, 8), b.terms(spark, sf_dir), b.clicks(spark, sf_dir), twin=0.25, support=2)
 
 
+def widened_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return enrich.widened_queries(b.terms(spark, sf_dir), synonym_pairs(spark, sf_dir))
+
+
+def items_with_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return enrich.items_with_queries(b.items(spark, sf_dir), b.terms(spark, sf_dir), b.clicks(spark, sf_dir), clip=30)
+
+
 def hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = b.pairs(spark, sf_dir).select("term_id", "item_id", F.col("label").alias("is_positive"), ((F.col("term_id") * 31 + F.col("item_id") * 17) % 1000 / 1000.0).alias("score"))
     return mining.hard_negatives(p, 0.5, 5).select("term_id", "item_id", "score", "rank")
@@ -247,7 +255,7 @@ QUERIES = {
         features_lexical, features_constraints, features_semantic, features_popularity, feature_matrix, item_popularity, fold_popularity, token_frequency, group_features,
         top_per_group, least_positives, top_share, channel_texts, knn_terms, knn_vectors, vector_functions, neighbour_shares, term_stats, graph_histograms, graph_entropy,
         cf_similarity, cf_two_hop, item_clickers, item_votes, title_transfer, negative_quota, lexical_candidates, category_siblings, guided_candidates, popularity_draw,
-        mined_negatives, clean_negatives, synonym_pairs, hard_negatives, correction_chain, correction_chain_full, left_scores,
+        mined_negatives, clean_negatives, synonym_pairs, widened_queries, items_with_queries, hard_negatives, correction_chain, correction_chain_full, left_scores,
     )
 }
 
@@ -322,6 +330,10 @@ _FIRST = "(SELECT * FROM (SELECT term_id, item_id, row_number() OVER (PARTITION
 _SYN_ROWS = "(VALUES ('ring', 'gear'), ('gear', 'ring'), ('red', 'hot'), ('hot', 'red'), ('kadın', 'erkek'), ('erkek', 'kadın')) AS v(w, x)"
 _NB = {8: f"{BASE}, {knn_sql(8)}"}
 
+_SYN = f"""{_NB[8]}, tk AS (SELECT term_id, {uniq_tok('query')} AS t FROM terms), p AS (SELECT q_id AS a, i_id AS b, list_filter(x.t, lambda w: NOT list_contains(y.t, w)) AS da, list_filter(y.t, lambda w: NOT list_contains(x.t, w)) AS db FROM knn JOIN tk x ON x.term_id = q_id JOIN tk y ON y.term_id = i_id WHERE sim >= 0.25),
+      o AS (SELECT a, b, da[1] AS x, db[1] AS y FROM p WHERE len(da) = 1 AND len(db) = 1 AND length(da[1]) >= 3 AND length(db[1]) >= 3), s AS (SELECT DISTINCT ca.term_id AS a, cb.term_id AS b FROM o JOIN clicks ca ON ca.term_id = a JOIN clicks cb ON cb.term_id = b AND cb.item_id = ca.item_id),
+      k AS (SELECT o.* FROM o LEFT JOIN (SELECT *, true AS hit FROM s) USING (a, b) WHERE hit OR a NOT IN (SELECT term_id FROM clicks) OR b NOT IN (SELECT term_id FROM clicks)),
+      g AS (SELECT least(x, y) AS tok_a, greatest(x, y) AS tok_b, count(*) AS support FROM k GROUP BY 1, 2 HAVING count(*) >= 2), z AS (SELECT *, list_distinct(list_transform(range(1, length(tok_a)), lambda i: substring(tok_a, i::BIGINT, 2))) AS ga, list_distinct(list_transform(range(1, length(tok_b)), lambda i: substring(tok_b, i::BIGINT, 2))) AS gb FROM g)"""
 SQL = {
     "features_lexical": _LEX,
     "features_constraints": _CON,
@@ -380,11 +392,16 @@ SQL = {
     "clean_negatives": f"""{BASE}, c AS (SELECT term_id, item_id, label, round({b.dot('q.vec', 'i.vec')}, 6) AS cos FROM pairs JOIN term_vectors q USING (term_id) JOIN item_vectors i USING (item_id)),
       t AS (SELECT c.*, {token_set('query')} AS q, {token_set("title || ' ' || category || ' ' || brand || ' ' || attributes")} AS i FROM c JOIN terms USING (term_id) JOIN items USING (item_id))
       SELECT term_id, item_id, label, cos FROM t WHERE NOT (label = 0 AND (len(list_intersect(q, i)) = len(q) OR cos >= (SELECT quantile_cont(cos, 0.75) FROM c WHERE label = 1)))""",
-    "synonym_pairs": f"""{_NB[8]}, tk AS (SELECT term_id, {uniq_tok('query')} AS t FROM terms), p AS (SELECT q_id AS a, i_id AS b, list_filter(x.t, lambda w: NOT list_contains(y.t, w)) AS da, list_filter(y.t, lambda w: NOT list_contains(x.t, w)) AS db FROM knn JOIN tk x ON x.term_id = q_id JOIN tk y ON y.term_id = i_id WHERE sim >= 0.25),
-      o AS (SELECT a, b, da[1] AS x, db[1] AS y FROM p WHERE len(da) = 1 AND len(db) = 1 AND length(da[1]) >= 3 AND length(db[1]) >= 3), s AS (SELECT DISTINCT ca.term_id AS a, cb.term_id AS b FROM o JOIN clicks ca ON ca.term_id = a JOIN clicks cb ON cb.term_id = b AND cb.item_id = ca.item_id),
-      k AS (SELECT o.* FROM o LEFT JOIN (SELECT *, true AS hit FROM s) USING (a, b) WHERE hit OR a NOT IN (SELECT term_id FROM clicks) OR b NOT IN (SELECT term_id FROM clicks)),
-      g AS (SELECT least(x, y) AS tok_a, greatest(x, y) AS tok_b, count(*) AS support FROM k GROUP BY 1, 2 HAVING count(*) >= 2), z AS (SELECT *, list_distinct(list_transform(range(1, length(tok_a)), lambda i: substring(tok_a, i::BIGINT, 2))) AS ga, list_distinct(list_transform(range(1, length(tok_b)), lambda i: substring(tok_b, i::BIGINT, 2))) AS gb FROM g)
+    "synonym_pairs": f"""{_SYN}
       SELECT tok_a, tok_b, support, CASE WHEN abs(length(tok_a) - length(tok_b)) <= 2 AND len(list_intersect(ga, gb)) / len(list_distinct(list_concat(ga, gb))) >= 0.5 THEN 'typo' ELSE 'synonym' END AS kind FROM z""",
+    "widened_queries": f"""{_SYN}, q AS (SELECT term_id, {b.norm('query')} AS n FROM terms), w AS (SELECT term_id, unnest(string_split_regex(trim(n), '\\s+')) AS w FROM q), two AS (SELECT tok_a AS w, tok_b AS s FROM z UNION SELECT tok_b, tok_a FROM z),
+      e AS (SELECT DISTINCT term_id, s FROM w JOIN two USING (w) WHERE (term_id, s) NOT IN (SELECT term_id, w FROM w)),
+      f AS (SELECT term_id, string_agg(s, ' ' ORDER BY s) AS extra FROM (SELECT *, row_number() OVER (PARTITION BY term_id ORDER BY s) AS pos FROM e) WHERE pos <= 3 GROUP BY term_id)
+      SELECT term_id, n || coalesce(' | ' || extra, '') AS text FROM q LEFT JOIN f USING (term_id)""",
+    "items_with_queries": f"""{_CTX}, t AS (SELECT *, trim(regexp_replace({b.norm('title')}, '\\s+', ' ', 'g')) AS tk FROM items),
+      a AS (SELECT tk, {b.norm('query')} AS asked, row_number() OVER (PARTITION BY tk ORDER BY term_id, item_id) AS pos FROM clicks JOIN t USING (item_id) JOIN terms USING (term_id)),
+      f AS (SELECT tk, string_agg(asked, ' ; ' ORDER BY pos) AS queries FROM a WHERE pos <= 3 GROUP BY tk)
+      SELECT item_id, concat_ws(' | ', {b.norm('title')}, {b.norm('category')}, {b.norm('brand')}, {b.norm('gender')}, left({b.norm('attributes')}, 30), 'aranan: ' || queries) AS text FROM t LEFT JOIN f USING (tk)""",
     "hard_negatives": f"""{_CTX} SELECT * FROM (SELECT term_id, item_id, ((term_id * 31 + item_id * 17) % 1000) / 1000.0::DOUBLE AS score, row_number() OVER (PARTITION BY term_id ORDER BY (term_id * 31 + item_id * 17) % 1000 DESC, item_id)::INT AS rank FROM pairs WHERE label = 0 AND (term_id * 31 + item_id * 17) % 1000 >= 500) WHERE rank <= 5""",
     "left_scores": f"{_CTX} SELECT term_id, item_id, CASE WHEN item_id % 3 = 0 THEN (item_id % 10) / 10.0::DOUBLE ELSE 0.5::DOUBLE END AS score FROM pairs",
 }

@@ -210,3 +210,29 @@ def test_correction_stages(spark, rows, expected):
     schema = "term_id int, item_id int, y boolean, cos double, recall double, contain boolean, catw double, brandw double, top1 double, tts double, query string, title string, title_key string, item_text string, query_brands array<string>"
     df = spark.createDataFrame([tuple(r[c.split()[0]] for c in schema.split(", ")) for r in rows], schema)
     assert {r.item_id: (r.y, r.changed_by) for r in corrections.correct(df).collect()} == expected
+
+
+def test_widened_texts(spark):
+    from quillon.operators import enrich
+
+    terms = spark.createDataFrame([(1, "red bolt"), (2, "Bolt  screw"), (3, None), (4, "")], "term_id long, query string")
+    synonyms = spark.createDataFrame([("bolt", "screw"), ("bolt", "nut"), ("pin", "bolt"), ("axle", "bolt")], "tok_a string, tok_b string")
+    got = {r.term_id: r.text for r in enrich.widened_queries(terms, synonyms).collect()}
+    assert got == {1: "red bolt | axle nut pin", 2: "bolt  screw | axle nut pin", 3: "", 4: ""}
+    items = spark.createDataFrame([(1, "A  b", "x/y", "Z", None, "k: v"), (2, "a B", None, None, "", None), (3, None, "c", "d", "e", "f")], "item_id long, title string, category string, brand string, gender string, attributes string")
+    clicks = spark.createDataFrame([(2, 2), (1, 1), (1, 2), (3, 1)], "term_id long, item_id long")
+    got = {r.item_id: r.text for r in enrich.items_with_queries(items, terms, clicks).collect()}
+    asked = "aranan: red bolt ; red bolt ; bolt  screw"
+    assert got == {1: f"a  b | x/y | z |  | k: v | {asked}", 2: f"a b |  |  |  |  | {asked}", 3: " | c | d | e | f"}
+    assert enrich.widened_queries(terms.limit(0), synonyms.limit(0)).count() == 0
+
+
+def test_contributions_and_search(spark):
+    from quillon.operators import metrics, model
+
+    rows = spark.createDataFrame([(k, k % 40, float(k % 7), float(k % 3) if k % 5 else None, int(k % 7 > 3)) for k in range(400)], "id long, g long, a double, b double, y int")
+    told = model.contributions(rows, {"a": 1.0, "b": -1.0}, 1).filter("id = 6").first().contributions
+    assert told[0].feature == "a" and abs(told[0].contribution - (6.0 - sum(k % 7 for k in range(400)) / 400)) < 1e-9 and told[0].value == 6.0
+    found = model.search_member(rows, ["a"], "y", "g", [{"depth": 1, "rounds": 1}, {"depth": 2, "rounds": 2}])
+    assert [f for f, _ in found] == sorted((f for f, _ in found), reverse=True) and found[0][0] == 1.0
+    assert metrics.decide_at_rate(rows, "a", 0.3).agg({"prediction": "avg"}).first()[0] >= 0.28
