@@ -19,6 +19,13 @@ date   a day of the calendar, 1900 to 2099  order and separators, a day of that
 secret 32 to 64 hexadecimal digits of both  length, case
        letters and digits
 ====== ==================================== ==================================================
+
+Phones, cards and IBANs may hold blanks and hyphens, so a match can run into a number that follows. Its ends at
+group boundaries are tried, the likeliest first: a phone stops before an address, a date, an ssn or a card, at ten
+digits after +1, and at a blank behind ten digits joined by hyphens or dots; a card is sought in its usual groups, an
+IBAN in its country's length; then the longest valid one counts. What stays open: a short number after a phone that
+is written in blanks alone (+49 30 1234567 12) is read as its last group. A card in unusual groups or an IBAN of
+an unlisted country beside other numbers may be cut otherwise when the step is undone, if a longer sum fits by chance.
 """
 
 from __future__ import annotations
@@ -92,9 +99,13 @@ def _card(s: str, key: bytes, back: bool) -> str | None:
     d = re.sub(r"\D", "", s)
     if not 13 <= len(d) <= 19 or luhn(d) or not int(d):
         return None
-    n = 10 ** (len(d) - 1)
-    body = str(permute(n, int(d[:-1]), key, f"card{len(d)}", back)).zfill(len(d) - 1)
-    return _refill(s, r"\d", iter(body + str(-luhn(body + "0") % 10)))
+    n, first = 10 ** (len(d) - 1), _CARD.match(s)
+    first = len(re.sub(r"\D", "", first[0])) if first and first.end() < len(s) else 0
+    while True:
+        body = str(permute(n, int(d[:-1]), key, f"card{len(d)}", back)).zfill(len(d) - 1)
+        d = body + str(-luhn(body + "0") % 10)
+        if not first or luhn(d[:first]):  # its first groups alone are no card either
+            return _refill(s, r"\d", iter(d))
 
 
 def _iban(s: str, key: bytes, back: bool) -> str | None:
@@ -197,21 +208,63 @@ def _secret(s: str, key: bytes, back: bool) -> str | None:
     return moved.upper() if s == s.upper() else moved
 
 
+#: Cards in their usual groups, and what a phone or a card in other groups does not run into behind a blank.
+_CARD = re.compile(r"(?:\d{4}([ -])\d{4}\1\d{4}\1\d{4}|\d{4}([ -])\d{6}\2\d{5}|\d{13,19})(?!\d)")
+_OTHER = re.compile(r"\d{1,3}(?:\.\d{1,3}){3}(?!\d|\.\d)|\d{4}([-/.])\d{2}\1\d{2}(?![\d-])|\d{2}([-/.])\d{2}\2\d{4}(?!\d)|\d{3}-\d{2}-\d{4}(?![\d-])")
+_IBAN_LENGTHS = {c: int(n) for n, cs in (x.split(":") for x in (
+    "15:NO 16:BE 18:DK,FI,FK,FO,GL,NL,SD 19:MK,SI 20:AT,BA,EE,KZ,LT,LU,MN,XK 21:CH,HR,LI,LV "
+    "22:BG,BH,CR,DE,GB,GE,IE,ME,RS,VA 23:AE,GI,IL,IQ,OM,SO,TL 24:AD,CZ,ES,MD,PK,RO,SA,SE,SK,TN,VG "
+    "25:LY,PT,ST 26:IS,TR 27:BI,DJ,FR,GR,IT,MC,MR,SM 28:AL,AZ,BY,CY,DO,GT,HU,LB,NI,PL,SV "
+    "29:BR,EG,PS,QA,UA 30:JO,KW,MU,YE 31:MT,SC 32:LC 33:RU"
+).split()) for c in cs.split(",")}
+
+
+def _after_blanks(text: str, a: int, b: int) -> list[int]:
+    return [i + 1 for i in range(a, b) if text[i] == " "]
+
+
+def _phone_rank(text: str, a: int, b: int) -> tuple:
+    s = text[a:b]
+    country = re.match(r"\+\d{1,3}(?=\D)", s)
+    kept = country.end() if country else 2
+    apart = not any(_OTHER.match(text, i) or _CARD.match(text, i) for i in _after_blanks(text, a + kept, b))
+    ten = s[:kept] != "+1" or len(re.sub(r"\D", "", s[kept:])) == 10
+    joined = not any(len(re.sub(r"\D", "", s[kept : kept + m.end()])) >= 10 for m in re.finditer(r"(?<=\d)[.-]\d+(?= )", s[kept:]))
+    return apart, ten, joined
+
+
+def _card_rank(text: str, a: int, b: int) -> tuple | None:
+    if _CARD.fullmatch(text, a, b):
+        return (True,)
+    for i in _after_blanks(text, a, b):
+        card = _CARD.match(text, i)
+        if _OTHER.match(text, i) or card and not luhn(re.sub(r"\D", "", card[0])):
+            return None
+    return (False,)
+
+
+def _iban_rank(text: str, a: int, b: int) -> tuple:
+    return (len(text[a:b].replace(" ", "")) == _IBAN_LENGTHS.get(text[a : a + 2]),)
+
+
 @dataclass(frozen=True)
 class Kind:
+    """``rank`` orders ends at group boundaries, greater first; None is no end. Without it a match has one end."""
+
     name: str
     pattern: str
     change: Callable[[str, bytes, bool], str | None]
+    rank: Callable[[str, int, int], tuple | None] | None = None
 
 
 _DIGIT_KINDS = [
-    Kind("iban", r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?(?![A-Za-z0-9])", _iban),
+    Kind("iban", r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?(?![A-Za-z0-9])", _iban, _iban_rank),
     Kind("secret", r"[0-9A-Fa-f]{32,64}(?![0-9A-Za-z])", _secret),
-    Kind("phone", r"\+\d{1,3}[ .-]?\(\d{2,4}\)[ .-]?\d{2,4}(?:[ .-]?\d{2,4}){1,3}(?!\d)|\+\d{1,3}(?:[ .-]\d{2,8}){2,5}(?!\d)|\+\d{9,15}(?!\d)", _phone),
+    Kind("phone", r"\+\d{1,3}[ .-]?\(\d{2,4}\)[ .-]?\d{2,4}(?:[ .-]?\d{2,4}){1,3}(?!\d)|\+\d{1,3}(?:[ .-]\d{2,8}){2,5}(?!\d)|\+\d{9,15}(?!\d)", _phone, _phone_rank),
     Kind("date", r"\d{4}([-/.])\d{2}\1\d{2}(?![\d-])|\d{2}([-/.])\d{2}\2\d{4}(?!\d)", _date),
     Kind("ssn", r"\d{3}-\d{2}-\d{4}(?![\d-])", _ssn),
     Kind("ip", r"\d{1,3}(?:\.\d{1,3}){3}(?!\d|\.\d)", _ip),
-    Kind("card", r"\d(?:[ -]?\d){12,18}(?!\d)", _card),
+    Kind("card", r"\d(?:[ -]?\d){12,18}(?!\d)", _card, _card_rank),
 ]
 KINDS = ["email", *(k.name for k in _DIGIT_KINDS)]
 #: What any of the kinds may begin with: a sign, a digit, or letters that a digit follows soon.
@@ -221,6 +274,15 @@ _NAME = re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9._%+-]*[A-Za-z0-9])?$")
 _HOST = re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)*\.[A-Za-z]{2,24}(?![A-Za-z0-9])")
 
 
+def _ends(kind: Kind, pattern: re.Pattern, text: str, a: int, b: int) -> list[int]:
+    """The ends to try for the match from a to b: the greatest rank first, then the longest."""
+    if kind.rank is None:
+        return [b]
+    shorter = (e for e in range(b - 1, a, -1) if text[e] in " .-" and text[e - 1].isalnum() and pattern.fullmatch(text, a, e))
+    ranked = [(r, e) for e in (b, *shorter) if (r := kind.rank(text, a, e)) is not None]
+    return [e for _, e in sorted(ranked, reverse=True)]
+
+
 class Pseudonyms:
     """Finds the values of a text and gives their pseudonyms under ``key``."""
 
@@ -249,9 +311,11 @@ class Pseudonyms:
                 continue
             for k, (kind, pattern) in enumerate(_AT):
                 hit = pattern.match(text, m.start())
-                if hit and (new := self.changed(k, hit[0])) is not None:
-                    found.append((m.start(), hit.end(), kind.name, new))
-                    i = hit.end()
+                ends = _ends(kind, pattern, text, m.start(), hit.end()) if hit else []
+                end, new = next(((e, x) for e in ends if (x := self.changed(k, text[m.start() : e])) is not None), (0, None))
+                if new is not None:
+                    found.append((m.start(), end, kind.name, new))
+                    i = end
                     break
         return sorted(found)
 
