@@ -45,13 +45,18 @@ class WordEncoder:
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _ends_apart(self, word: str) -> bool:
+        """Whether punctuation after the word is a piece of its own: not where the normaliser leaves a mark at its end."""
+        text = self.tokenizer.normalizer.normalize_str(f"{word}!") if self.tokenizer.normalizer else f"{word}!"
+        return self.tokenizer.pre_tokenizer.pre_tokenize_str(text)[-1][0] == "!"
+
     def _learn(self, chunks: set[bytes]) -> None:
         words, plan, asked = self.words, [], {}
         for c in chunks:
             base = c.rstrip(b".,;:!?")
             if base.isalpha():  # ASCII letters only
                 base = base.lower()
-            elif not c.isascii() and (text := c.decode().rstrip(_ENDS)).isalpha():
+            elif not c.isascii() and (text := c.decode().rstrip(_ENDS)).isalpha() and (len(text.encode()) == len(c) or self._ends_apart(text)):
                 base = text.encode()
             else:
                 base = c

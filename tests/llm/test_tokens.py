@@ -39,6 +39,21 @@ def test_word_encoder_on_odd_texts():
     assert [np.frombuffer(x, "<u4").tolist() for x in ENCODER.encode(ODD)] == [ids_of(t) for t in ODD]
 
 
+MARKED = ["Hİ", "ANTALYADAKİ", "İ", "क\u0958", "\u095f", "ড\u09dc", "ΟΔΟΣ", "é", "e\u0301", "\ufb4c", "שׁ", "ñandú", "Straße", "a\u0958b"]
+
+
+@pytest.mark.parametrize("end", ["", ",", ".", "!?", "...", ":x", ";"])
+def test_word_encoder_where_a_word_ends_in_a_mark(end):
+    texts = [f"{a}{end}" for a in MARKED] + [f"x {a}{end} {b}{end} y" for a in MARKED for b in MARKED]
+    assert [np.frombuffer(x, "<u4").tolist() for x in ENCODER.encode(texts)] == [ids_of(t) for t in texts]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(alphabet=st.one_of(st.sampled_from("aİÉ\u0958\u095f\u09dc\u0a36\ufb2aΣ .,;:!?"), st.characters(codec="utf-8", categories=["L"])), max_size=30), max_size=4))
+def test_word_encoder_on_letters_and_ends(texts):
+    assert [np.frombuffer(x, "<u4").tolist() for x in ENCODER.encode(texts)] == [ids_of(t) for t in texts]
+
+
 def test_other_vocabularies_are_encoded_whole():
     e = WordEncoder(queries.tokenizer_file("byte_bpe_50k.json"))
     assert not e.by_chunk
