@@ -149,8 +149,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256) ->
     those of the query's own vec_id. Scores are inner products of floor(scale * x), ties go to the smaller
     vec_id; a query with fewer candidates gets them all. Rows without vec_id, and vectors that are null, empty
     or hold null or non-finite components take no part, nor do vectors of another width than the most frequent
-    one's. Rows that repeat a vec_id are candidates each, and queries each: their ranks then run on. Other
-    columns are not read. An empty table gives no rows. A scaled component must stay below 2^31.
+    one's. Rows that repeat a vec_id are candidates each, and queries each, with k rows of their own; equal query
+    rows are searched once and their answer is repeated. Other columns are not read. An empty table gives no rows. A scaled component must stay below 2^31.
     """
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), scaled(F.col("embedding"), scale).alias("v"), F.coalesce(is_query, F.lit(False)).alias("q")).filter("vec_id is not null and v is not null")
     rows = cut(rows.withColumn("query_row", F.when(F.col("q"), F.xxhash64("vec_id", "v"))), "scaled")
@@ -162,6 +162,9 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256) ->
     shards, blocks = -(-n // SHARD), max(-(-n_queries // QUERIES), 1)
     placed = rows.select(F.pmod(F.xxhash64("vec_id", F.lit(5)), F.lit(shards)).cast("int").alias("shard"), F.lit(-1).alias("block"), "vec_id", "v", F.lit(0.0).alias("least"), F.lit(0).cast("long").alias("query_row"))
     queries = rows.filter("q").select(F.pmod(F.xxhash64("vec_id", F.lit(6)), F.lit(blocks)).cast("int").alias("block"), "vec_id", "v", "query_row")
+    repeated = cut(queries.groupBy("query_row", "vec_id").agg(F.count("*").alias("times")).filter("times > 1"), "repeated")
+    some = bool(repeated.head(1))
+    queries = queries.dropDuplicates(["query_row", "vec_id"]) if some else queries
     keys = ["shard", "block"]
 
     def searched(where: Column, asked: DataFrame) -> DataFrame:
@@ -177,4 +180,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256) ->
         others = started.select(F.explode(F.sequence(F.lit(1), F.lit(shards - 1))).alias("shard"), "block", "vec_id", "v", "least", "query_row")
         seed = seed.unionByName(searched(F.col("shard") > 0, others))
     best = Window.partitionBy("query_row", "query_id").orderBy(F.desc("score"), "vec_id")
-    return seed.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    found = seed.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+    if some:
+        times = repeated.select("query_row", F.col("vec_id").alias("query_id"), "times")
+        found = found.join(times, ["query_row", "query_id"], "left").withColumn("time", F.explode(F.sequence(F.lit(1), F.coalesce("times", F.lit(1)).cast("int"))))
+    return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

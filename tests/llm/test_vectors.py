@@ -78,6 +78,20 @@ def test_top_k(spark, monkeypatch, shard, block):
     assert balltree.top_k(frame(spark, []), F.lit(True)).collect() == []
 
 
+@pytest.mark.parametrize("shard", [16384, 50])
+def test_top_k_of_repeated_query_rows(spark, monkeypatch, shard):
+    monkeypatch.setattr(balltree, "SHARD", shard)
+    from pyspark.sql import functions as F
+
+    rows = vectors(8)
+    again = [r for r in rows if r[0] is not None and r[0] % 30 == 0 and sound(r[1])]
+    rows = [*rows, *again, *again[:2], (again[3][0], rows[1][1]), (again[3][0], rows[1][1])]
+    got = balltree.top_k(frame(spark, rows), F.col("vec_id") % 10 == 0, k=5).collect()
+    assert sorted(tuple(r) for r in got) == best(rows, 5, 10)
+    few = [*rows[:3], rows[0], rows[0]]
+    assert sorted(tuple(r) for r in balltree.top_k(frame(spark, few), F.lit(True), k=5).collect()) == best(few, 5, 1)
+
+
 @pytest.mark.parametrize("leaf", [2, 8, 300])
 def test_ball_tree_prunes_nothing_that_counts(monkeypatch, leaf):
     monkeypatch.setattr(balltree, "LEAF", leaf)
