@@ -102,6 +102,37 @@ def random_candidates(terms: DataFrame, pool: DataFrame, n_pool: int, positives:
     return without(found, positives, keys=KEYS)
 
 
+def numbered(items: DataFrame, clicks: DataFrame, buckets: int = 1024) -> DataFrame:
+    """item_id, weight (log1p(clicks) + 1), rank: every item with a number from 1, whatever the partitioning."""
+    count = clicks.groupBy("item_id").agg(F.count("*").alias("n"))
+    at = items.select("item_id", F.pmod(F.xxhash64("item_id"), F.lit(buckets)).alias("bucket"))
+    sizes = at.groupBy("bucket").agg(F.count("*").alias("size"))
+    before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("bucket", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("start"))  # a row per bucket
+    own = F.row_number().over(Window.partitionBy("bucket").orderBy("item_id"))
+    ranked = at.withColumn("own", own).join(F.broadcast(starts), "bucket").select("item_id", (F.col("start") + F.col("own")).alias("rank"))
+    return ranked.join(count, "item_id", "left").select("item_id", (F.log1p(F.coalesce("n", F.lit(0))) + 1).alias("weight"), "rank")
+
+
+def catalog_draws(quota: DataFrame, items: DataFrame, clicks: DataFrame, positives: DataFrame, tries: int = 5, seed: int = 42) -> DataFrame:
+    """term_id, item_id, order: draws from all items, by log1p(clicks) + 1 and uniformly in turns, without repeats.
+
+    A term draws ``tries`` times its quota of either kind at most. A draw names an item's number, so terms and items
+    meet in an equi-join; a weighted draw is kept with the share that its item's weight is of the greatest one.
+    """
+    catalog = numbered(items, clicks)
+    size = catalog.agg(F.count("*").alias("n_items"), F.max("weight").alias("most"))  # one row
+    kinds = F.explode(F.array(F.lit(0), F.lit(1))).alias("uniform")
+    draws = quota.select("term_id", F.col("quota"), kinds).withColumn("try", F.explode(F.sequence(F.lit(1), F.col("quota") * tries)))
+    chance = lambda k: F.pmod(F.xxhash64("term_id", "uniform", "try", F.lit(seed + k)), F.lit(1 << 53))
+    at = draws.crossJoin(F.broadcast(size)).withColumn("rank", chance(4) % F.col("n_items") + 1).withColumn("u", chance(5) / float(1 << 53))
+    kept = at.join(catalog, "rank").filter((F.col("uniform") == 1) | (F.col("u") * F.col("most") < F.col("weight")))
+    first = kept.groupBy("term_id", "item_id", "uniform").agg(F.min("try").alias("try"))
+    turn = F.row_number().over(Window.partitionBy("term_id", "uniform").orderBy("try", "item_id"))
+    found = without(first, positives, keys=KEYS).withColumn("order", 2 * turn + F.col("uniform"))
+    return found.groupBy("term_id", "item_id").agg(F.min("order").alias("order"))
+
+
 def choose(sources: list[tuple[str, DataFrame]], quota: DataFrame, positives: DataFrame) -> DataFrame:
     """term_id, item_id, neg_source: each source fills its column of the quota with what no earlier one took.
 

@@ -180,18 +180,24 @@ def popularity_draw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(mining.popularity_draw(b.items(spark, sf_dir), b.clicks(spark, sf_dir), 100).drop("n"))
 
 
+#: Siblings a category: the largest share that quotas() gives the source, a fifth of 150.
+MOST_SIBLINGS = 30
+
+
 def mined_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All sources in order of precedence, each filling its part of a term's quota with what is left."""
     t, i, c = b.terms(spark, sf_dir), b.items(spark, sf_dir).withColumn("text", features.item_text("title", "brand", "category", "attributes")), b.clicks(spark, sf_dir)
     near = knn.knn(b.term_vectors(spark, sf_dir).toDF("q_id", "q_vec"), b.item_vectors(spark, sf_dir).toDF("i_id", "i_vec"), 80)
-    pool = mining.popularity_draw(i, c, 500)
+    quota = mining.quotas(c)
+    guesses = t.join(i.select(F.col("item_id").alias("term_id"), "category"), "term_id").select("term_id", "category")
     sources = [
         ("dense_ann", mining.veto(mining.dense_candidates(near, c), t, i, "text")),
-        ("lexical", mining.veto(mining.lexical_candidates(t, i, "text", 20), t, i, "text")),
-        ("category_sibling", mining.veto(mining.category_siblings(c, i, 8), t, i, "text")),
-        ("popularity_random", mining.random_candidates(t, pool, 500, c, 60)),
+        ("lexical", mining.veto(mining.lexical_candidates(t, i, "text"), t, i, "text")),
+        ("category_sibling", mining.veto(mining.category_siblings(c, i, MOST_SIBLINGS), t, i, "text")),
+        ("llm_guided", mining.guided_candidates(guesses, c, i, MOST_SIBLINGS)),
+        ("popularity_random", mining.catalog_draws(quota, i, c, c)),
     ]
-    return mining.choose(sources, mining.quotas(c), c)
+    return mining.choose(sources, quota, c)
 
 
 def clean_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,7 @@
 """Every registered query of the reference tables against its SQL, or its invariants where there is none."""
 
+from functools import partial
+
 import duckdb
 import pytest
 
@@ -50,6 +52,34 @@ def test_mined_negatives(spark, sf):
     assert all(sum(n for (t, _), n in per.items() if t == k) <= q.quota for k, q in quota.items())
 
 
+def test_mined_negatives_come_from_all_sources(spark, sf, monkeypatch):
+    from quillon.operators import mining
+    from quillon.plans import bindings as b
+
+    monkeypatch.setattr(mining, "quotas", partial(mining.quotas, rare=10_000))  # no term of the tables is rare
+    got = registry.QUERIES["mined_negatives"](spark, sf).collect()
+    assert {r.neg_source for r in got} == {"dense_ann", "lexical", "category_sibling", "llm_guided", "popularity_random"}
+    full = {r.term_id: r.quota for r in mining.quotas(b.clicks(spark, sf)).collect()}
+    n = b.items(spark, sf).count()
+    assert len(got) > 0.9 * sum(min(q, n) for q in full.values())
+
+
+def test_draws_reach_the_whole_catalog_by_weight(spark):
+    from quillon.operators import mining
+
+    items = spark.range(1, 1201).toDF("item_id")
+    clicks = spark.range(0, 3000).selectExpr("1000 + id as term_id", "1 + id % 6 as item_id")
+    ranks = [r["rank"] for r in mining.numbered(items, clicks, buckets=7).collect()]
+    assert sorted(ranks) == list(range(1, 1201))
+    quota = spark.range(1, 301).selectExpr("id as term_id", "40 as quota")
+    none = clicks.limit(0)
+    got = mining.catalog_draws(quota, items, clicks, none).collect()
+    assert len({(r.term_id, r.item_id) for r in got}) == len(got) and {r.item_id for r in got} == set(range(1, 1201))
+    head = [r for r in got if r.order <= 41]
+    heavy = sum(r.item_id <= 6 for r in head) / len(head)
+    assert 2 * 6 / 1200 < heavy < 0.5 and len(head) > 0.9 * 300 * 40
+
+
 def test_correction_chains_share_their_first_stages(spark, sf):
     short = {(r.term_id, r.item_id): r for r in registry.QUERIES["correction_chain"](spark, sf).collect()}
     full = {(r.term_id, r.item_id): r for r in registry.QUERIES["correction_chain_full"](spark, sf).collect()}
