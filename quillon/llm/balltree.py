@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import Rows, cut, groups_of
+from .shared import Rows, cut, groups_of, lean
 
 LEAF = 256
 #: Vectors of a shard and queries of a block; the task that joins one of each holds both.
@@ -169,7 +169,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256) ->
 
     def searched(where: Column, asked: DataFrame) -> DataFrame:
         both = placed.filter(where).unionByName(asked)
-        return both.repartition(max(shards, 1), "shard").sortWithinPartitions(*keys, "vec_id").mapInArrow(partial(_search, k=k), FOUND)
+        return both.repartition(max(shards, 1), "shard").sortWithinPartitions(*keys, "vec_id").mapInArrow(lean(partial(_search, k=k)), FOUND)
 
     # The seed shard's k-th scores are where the search of the others starts: what is below cannot be among the best.
     seed = cut(searched(F.col("shard") == 0, queries.select(F.lit(0).alias("shard"), "block", "vec_id", "v", F.lit(float("-inf")).alias("least"), "query_row")), "seed")

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Rows, cut, groups_of
+from .shared import Rows, cut, groups_of, lean
 
 EDGES = "a long, b long"
 _EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -116,4 +116,4 @@ def group_forests(rows: DataFrame, links: Callable[[], Links], block: int = 1500
     dealt = sized.select("grp", "id", *payload, F.explode(units).alias("unit")).select("grp", "id", *payload, "unit.x", "unit.y", "unit.second")
     keys = ["grp", "x", "y"]
     in_order = dealt.repartition(*keys).sortWithinPartitions(*keys, "id")
-    return in_order.mapInArrow(partial(_group_edges, links=links, keys=keys), EDGES)
+    return in_order.mapInArrow(lean(partial(_group_edges, links=links, keys=keys)), EDGES)

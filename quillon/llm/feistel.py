@@ -42,6 +42,8 @@ from math import isqrt, prod
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .shared import lean, text_runs
+
 ROUNDS = 10
 
 
@@ -337,13 +339,15 @@ class Pseudonyms:
 def _replace(batches: Iterator[pa.RecordBatch], key: bytes, back: bool) -> Iterator[pa.RecordBatch]:
     made = Pseudonyms(key, back)
     for batch in batches:
-        texts, values = [], []
-        for t in batch.column("text").to_pylist():
-            new, n = (None, {}) if t is None else made.text(t)
-            texts.append(new)
-            values.append(sorted(n.items()))
-        columns = [pa.array(texts, pa.string()) if name == "text" else c for name, c in zip(batch.schema.names, batch.columns, strict=True)]
-        yield pa.RecordBatch.from_arrays([*columns, pa.array(values, pa.map_(pa.string(), pa.int32()))], names=[*batch.schema.names, "pii"])
+        for a, b in text_runs(batch.column("text")):
+            part = batch.slice(a, b - a)
+            texts, values = [], []
+            for t in part.column("text").to_pylist():
+                new, n = (None, {}) if t is None else made.text(t)
+                texts.append(new)
+                values.append(sorted(n.items()))
+            columns = [pa.array(texts, pa.string()) if name == "text" else c for name, c in zip(part.schema.names, part.columns, strict=True)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(values, pa.map_(pa.string(), pa.int32()))], names=[*part.schema.names, "pii"])
 
 
 def pseudonymise(docs: DataFrame, key: bytes, back: bool = False) -> DataFrame:
@@ -354,4 +358,4 @@ def pseudonymise(docs: DataFrame, key: bytes, back: bool = False) -> DataFrame:
     """
     rest = docs.drop("pii")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema)
-    return rest.mapInArrow(partial(_replace, key=key, back=back), f"{schema}, pii map<string, int>")
+    return rest.mapInArrow(lean(partial(_replace, key=key, back=back)), f"{schema}, pii map<string, int>")

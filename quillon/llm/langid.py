@@ -16,7 +16,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import plain_strings, text_bytes, text_runs
+from .shared import lean, plain_strings, text_bytes, text_runs
 
 #: Hashed n-grams of the normalised text: letters in lower case, every other run as one blank.
 DIMENSIONS = 8192
@@ -155,7 +155,7 @@ def train(labelled: DataFrame, per_language: int = 400, clusters: int = 4) -> Mo
     ranked = low.distinct().withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("order")))
     chosen = ranked.filter(F.col("rank") <= per_language).drop("rank")  # per_language rows of each language: broadcast
     sample = rows.join(F.broadcast(chosen), ["lang", "order"]).dropDuplicates(["lang", "order"]).repartition(1)
-    got = sample.mapInArrow(partial(_fit_task, clusters=clusters), _MODEL).first()
+    got = sample.mapInArrow(lean(partial(_fit_task, clusters=clusters)), _MODEL).first()
     if got is None:
         return nothing_learned()
     shape = (-1, DIMENSIONS)
@@ -178,14 +178,10 @@ def score(model: Model, matrix: np.ndarray, letters: np.ndarray) -> tuple[list[s
 def _predict(batches: Iterator[pa.RecordBatch], shared: Broadcast) -> Iterator[pa.RecordBatch]:
     model = shared.value
     for batch in batches:
-        names, cosines, rejected = [], [], []
-        for _, _, matrix, letters in _chunks(plain_strings(batch.column("text"))):
-            a, b, c = score(model, matrix, letters)
-            names += a
-            cosines.append(b)
-            rejected.append(c)
-        extra = [pa.array(names, pa.string()), pa.array(np.concatenate(cosines) if cosines else [], pa.float64()), pa.array(np.concatenate(rejected) if rejected else [], pa.bool_())]
-        yield pa.RecordBatch.from_arrays([*batch.columns, *extra], names=[*batch.schema.names, "lang_pred", "lang_score", "lang_rejected"])
+        for a, b, matrix, letters in _chunks(plain_strings(batch.column("text"))):
+            part = batch.slice(a, b - a)
+            names, cosine, rejected = score(model, matrix, letters)
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names, pa.string()), pa.array(cosine), pa.array(rejected)], names=[*part.schema.names, "lang_pred", "lang_score", "lang_rejected"])
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
@@ -199,7 +195,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     rest = docs.drop("lang_pred", "lang_score", "lang_rejected")
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema)
-    return rest.mapInArrow(partial(_predict, shared=shared), f"{schema}, lang_pred string, lang_score double, lang_rejected boolean")
+    return rest.mapInArrow(lean(partial(_predict, shared=shared)), f"{schema}, lang_pred string, lang_score double, lang_rejected boolean")
 
 
 def held_out(doc_id: Column | str = "doc_id") -> Column:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import Links, connected_components, group_forests
-from .shared import as_batch, cut, plain_strings, text_bytes, text_runs
+from .shared import as_batch, cut, lean, plain_strings, text_bytes, text_runs
 
 COORDINATES = 48
 SIGNED = "doc_id long, n_shingles long, set_key binary, sig array<long>"
@@ -202,7 +202,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5) -> DataF
     no part: its component_id is null and it is kept. Other columns are not read. An empty table gives no rows.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = cut(rows.mapInArrow(partial(_sign, width=width), SIGNED), "signatures")
+    signed = cut(rows.mapInArrow(lean(partial(_sign, width=width)), SIGNED), "signatures")
     classes = cut(
         signed.filter("n_shingles > 0 and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"), F.min_by("sig", "doc_id").alias("sig")),
         "classes",
@@ -210,7 +210,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5) -> DataF
     found = cut(connected_components(_candidates(classes, matches_needed(percent / 100))), "candidates")
     few = found.count() <= BROADCAST_IDS
     texts = rows.join((F.broadcast if few else lambda x: x)(found.select(F.col("id").alias("doc_id"), F.col("component").alias("grp"))), "doc_id")
-    sets = texts.select("grp", F.col("doc_id").alias("id"), "text").mapInArrow(partial(_members, width=width), "grp long, id long, weight long, members binary")
+    sets = texts.select("grp", F.col("doc_id").alias("id"), "text").mapInArrow(lean(partial(_members, width=width)), "grp long, id long, weight long, members binary")
     links = cut(group_forests(sets.filter("weight > 0"), partial(SetLinks, percent), block=1000), "links")
     component = connected_components(links)
     shared = classes.filter("copies > 1").select("set_key", F.col("id").alias("first_id"))

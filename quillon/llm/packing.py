@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import as_batch
+from .shared import as_batch, lean
 from .word_tokens import encoder
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary"
@@ -71,26 +71,25 @@ class CapacityTree:
 
 
 def _cut(batches: Iterator[pa.RecordBatch], tokenizer_path: str, end_id: int, window: int, with_ids: bool) -> Iterator[pa.RecordBatch]:
-    encode, end = encoder(tokenizer_path).encode, struct.pack("<I", end_id)
+    encoded, end = encoder(tokenizer_path).encode_runs, struct.pack("<I", end_id)
     for batch in batches:
-        rows: list[tuple] = []
-        for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encode(batch.column("text").to_pylist()), strict=True):
-            ids += end
-            n = len(ids) // 4
-            for at in range(0, n, window):
-                piece = ids[4 * at : 4 * (at + window)]
-                rows.append((doc_id, at, len(piece) // 4, zlib.crc32(piece), n, piece if with_ids else None))
-            if len(rows) >= 5_000:
+        doc_ids = batch.column("doc_id").to_pylist()
+        for a, b, ids, ends in encoded(batch.column("text")):
+            raw, rows = memoryview(np.ascontiguousarray(ids, "<u4")).cast("B"), []
+            for doc_id, x, y in zip(doc_ids[a:b], ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+                for at in range(0, y - x + 1, window):
+                    last = at + window > y - x
+                    piece = raw[4 * (x + at) : 4 * min(x + at + window, y)]
+                    crc = zlib.crc32(end, zlib.crc32(piece)) if last else zlib.crc32(piece)
+                    rows.append((doc_id, at, len(piece) // 4 + last, crc, y - x + 1, (bytes(piece) + end if last else bytes(piece)) if with_ids else None))
+            if rows:
                 yield as_batch(_PIECES, dict(zip(_PIECES.names, zip(*rows, strict=True), strict=True)))
-                rows = []
-        if rows:
-            yield as_batch(_PIECES, dict(zip(_PIECES.names, zip(*rows, strict=True), strict=True)))
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, window: int, with_ids: bool = False) -> DataFrame:
     """The documents' ids (end id last) cut into full windows and a rest; each id lies in one piece."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(partial(_cut, tokenizer_path=tokenizer_path, end_id=end_id, window=window, with_ids=with_ids), PIECES)
+    return rows.mapInArrow(lean(partial(_cut, tokenizer_path=tokenizer_path, end_id=end_id, window=window, with_ids=with_ids)), PIECES)
 
 
 def _fit(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
@@ -127,7 +126,7 @@ def best_fit_decreasing(pieces: DataFrame, window: int, parts: int | None = None
     dealt = pieces.repartition(parts, *keys) if parts else pieces.repartition(*keys)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
     in_order = dealt.sortWithinPartitions(F.desc("length"), *keys)
-    return in_order.mapInArrow(partial(_fit, window=window), f"{schema}, sequence_id long, offset long")
+    return in_order.mapInArrow(lean(partial(_fit, window=window)), f"{schema}, sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 1, window: int = 2048, with_ids: bool = False, parts: int | None = None) -> DataFrame:

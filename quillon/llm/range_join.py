@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import Rows, cut, groups_of
+from .shared import Rows, cut, groups_of, lean
 
 #: Vectors that a cell should hold; the number of pivots follows from it.
 CELL = 4096
@@ -163,7 +163,7 @@ def near_vectors(table: DataFrame, cosine: float = 0.9) -> DataFrame:
     pivots = _pivots(vectors, vectors.count(), widths.width)
     radius = float(np.sqrt(max(2 - 2 * cosine, 0)))
     assign = partial(_assign, shared=spark.sparkContext.broadcast(pivots), radius=radius)
-    cells = cut(vectors.select("id", "copies", "embedding").mapInArrow(assign, "cell int, own boolean, id long, copies long, unit binary"), "cells")
+    cells = cut(vectors.select("id", "copies", "embedding").mapInArrow(lean(assign), "cell int, own boolean, id long, copies long, unit binary"), "cells")
     # Blocks: a unit (x, y) joins block x of a cell's own vectors with block y of its own, or of its visitors (negative).
     sizes = cells.groupBy("cell").agg(F.count_if("own").alias("n_own"), F.count_if(~F.col("own")).alias("n_far"))  # a row per pivot
     sized = cells.join(F.broadcast(sizes), "cell").withColumn("nb", F.ceil(F.col("n_own") / BLOCK).cast("int")).filter("nb > 0")
@@ -176,7 +176,7 @@ def near_vectors(table: DataFrame, cosine: float = 0.9) -> DataFrame:
     units = F.when(F.col("own"), F.concat(to_own, F.coalesce(as_first, F.array().cast("array<struct<x:int,y:int,second:boolean>>")))).otherwise(visits)
     dealt = sized.select("cell", "id", "copies", "unit", F.explode(units).alias("u")).select("cell", "u.x", "u.y", "u.second", "id", "copies", "unit")
     keys = ["cell", "x", "y"]
-    found = cut(dealt.repartition(*keys).sortWithinPartitions(*keys, "id").mapInArrow(partial(_join, cosine=cosine), "id long, links long, to long"), "found")
+    found = cut(dealt.repartition(*keys).sortWithinPartitions(*keys, "id").mapInArrow(lean(partial(_join, cosine=cosine)), "id long, links long, to long"), "found")
     component = connected_components(found.select(F.col("id").alias("a"), F.col("to").alias("b")))
     degree = found.groupBy("id").agg(F.sum("links").alias("links"))
     classes = vectors.select("key", "id", "copies").filter("copies > 1").join(degree, "id", "left").join(component, "id", "left")

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import as_batch, cut, filesystem
+from .shared import as_batch, cut, filesystem, lean
 from .word_tokens import encoder
 
 _MASK = 0xA282EAD8
@@ -42,12 +42,11 @@ def masked_crc(data: bytes) -> int:
     return (((c >> 15) | (c << 17)) + _MASK) & 0xFFFFFFFF
 
 
-def frame(doc_id: int | None, ids: bytes) -> bytes:
-    """A record of ``ids`` (unsigned 32-bit, little-endian); ids below 65,536 take two bytes in the file."""
-    wide = np.frombuffer(ids, "<u4")
-    narrow = not len(wide) or wide.max() < 65536
+def frame(doc_id: int | None, ids: np.ndarray) -> bytes:
+    """A record of ``ids`` (unsigned 32-bit); ids below 65,536 take two bytes in the file."""
+    narrow = not len(ids) or ids.max() < 65536
     flags = (_NULL_ID if doc_id is None else 0) | (0 if narrow else _WIDE)
-    payload = _PAYLOAD.pack(doc_id or 0, flags) + (wide.astype("<u2").tobytes() if narrow else ids)
+    payload = _PAYLOAD.pack(doc_id or 0, flags) + ids.astype("<u2" if narrow else "<u4").tobytes()
     head = _HEAD.pack(len(payload))
     return head + _SUM.pack(masked_crc(head)) + payload + _SUM.pack(masked_crc(payload))
 
@@ -98,19 +97,21 @@ def read_at(uri: str, offsets: list[int]) -> Iterator[tuple[int | None, bytes]]:
 def _write(batches: Iterator[pa.RecordBatch], folder: str, tokenizer_path: str, end_id: int | None) -> Iterator[pa.RecordBatch]:
     task = TaskContext.get()
     store, root = filesystem(folder)
-    encode, end = encoder(tokenizer_path).encode, b"" if end_id is None else struct.pack("<I", end_id)
+    encoded, end = encoder(tokenizer_path).encode_runs, [] if end_id is None else [end_id]
     name = f"part-{task.partitionId():06d}-{task.taskAttemptId()}.rec"  # no two attempts share a file
     records = tokens = at = 0
     out = index = None
     for batch in batches:
-        for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encode(batch.column("text").to_pylist()), strict=True):
-            if out is None:
-                store.create_dir(root, recursive=True)
-                out, index = store.open_output_stream(f"{root}/{name}", buffer_size=1 << 20), store.open_output_stream(f"{root}/{name}.idx", buffer_size=1 << 16)
-            ids += end
-            out.write(data := frame(doc_id, ids))
-            index.write(_ENTRY.pack(doc_id or 0, at, len(ids) // 4))
-            records, tokens, at = records + 1, tokens + len(ids) // 4, at + len(data)
+        doc_ids = batch.column("doc_id").to_pylist()
+        if doc_ids and out is None:
+            store.create_dir(root, recursive=True)
+            out, index = store.open_output_stream(f"{root}/{name}", buffer_size=1 << 20), store.open_output_stream(f"{root}/{name}.idx", buffer_size=1 << 16)
+        for a, b, run, ends in encoded(batch.column("text")):
+            for doc_id, x, y in zip(doc_ids[a:b], ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+                ids = np.append(run[x:y], end).astype("<u4") if end else run[x:y]
+                out.write(data := frame(doc_id, ids))
+                index.write(_ENTRY.pack(doc_id or 0, at, len(ids)))
+                records, tokens, at = records + 1, tokens + len(ids), at + len(data)
     if out is not None:
         out.close()
         index.close()
@@ -131,7 +132,7 @@ def write_token_records(docs: DataFrame, folder: str, tokenizer_path: str, end_i
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sorted_rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
     write = partial(_write, folder=folder, tokenizer_path=tokenizer_path, end_id=end_id)
-    return cut(sorted_rows.mapInArrow(write, MANIFEST), "manifest")
+    return cut(sorted_rows.mapInArrow(lean(write), MANIFEST), "manifest")
 
 
 def _read(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordBatch]:
@@ -158,4 +159,4 @@ def read_token_records(spark: SparkSession, folder: str, manifest: DataFrame) ->
     if not files:
         return spark.createDataFrame([], READ)
     todo = spark.createDataFrame(files, "file string, start long").repartition(len(files))
-    return todo.mapInArrow(partial(_read, folder=folder), READ)
+    return todo.mapInArrow(lean(partial(_read, folder=folder)), READ)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -127,6 +128,31 @@ class Rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(joined, self.schema, strict=True)], schema=self.schema)
 
 
+def release_memory() -> None:
+    """Gives what this process has freed back to the system: a reused worker keeps no more than it holds."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # another C library
+        pass
+
+
+class _Lean:
+    def __init__(self, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+        self.work = work
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from self.work(batches)
+        finally:
+            release_memory()
+
+
+def lean(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> _Lean:
+    """``work`` on a task's batches, after which the worker gives its free memory back; for ``mapInArrow``."""
+    return _Lean(work)
+
+
 def per_worker(make: Callable[[], object], _held: dict = {}) -> object:  # noqa: B006  held for the worker's life
     """``make()``, once in each Python worker for each function of a module and its arguments."""
     key = (make.func.__module__, make.func.__qualname__, make.args)

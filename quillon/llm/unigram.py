@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 
-from .shared import as_batch
+from .shared import as_batch, lean
 
 MARK = "▁".encode()
 ENCODED = "doc_id long, ids binary, n_tokens long, n_bytes long"
@@ -247,7 +247,7 @@ def encode(docs: DataFrame, model_path: str) -> DataFrame:
     columns are not read. Each text is encoded whole.
     """
     shared = share_model(docs.sparkSession, model_path)
-    return docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(partial(_encode, path=model_path, shared=shared), ENCODED)
+    return docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(lean(partial(_encode, path=model_path, shared=shared)), ENCODED)
 
 
 def _decode(batches: Iterator[pa.RecordBatch], path: str, shared: Broadcast) -> Iterator[pa.RecordBatch]:
@@ -263,7 +263,7 @@ def decode(encoded: DataFrame, model_path: str) -> DataFrame:
     """``encoded`` with ``decoded``, the text of its ``ids``; null ids give null. A column of that name is replaced."""
     rest = encoded.drop("decoded")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema)
-    return rest.mapInArrow(partial(_decode, path=model_path, shared=share_model(encoded.sparkSession, model_path)), f"{schema}, decoded string")
+    return rest.mapInArrow(lean(partial(_decode, path=model_path, shared=share_model(encoded.sparkSession, model_path))), f"{schema}, decoded string")
 
 
 def _round_trip(batches: Iterator[pa.RecordBatch], path: str, shared: Broadcast) -> Iterator[pa.RecordBatch]:
@@ -281,4 +281,4 @@ def round_trip(docs: DataFrame, model_path: str) -> DataFrame:
     the ids on the way out. Nulls as there; a null text comes back empty."""
     shared = share_model(docs.sparkSession, model_path)
     rows = docs.selectExpr("cast(doc_id as long) as doc_id", "text")
-    return rows.mapInArrow(partial(_round_trip, path=model_path, shared=shared), "doc_id long, n_tokens long, n_bytes long, ids_crc32 long, decoded string")
+    return rows.mapInArrow(lean(partial(_round_trip, path=model_path, shared=shared)), "doc_id long, n_tokens long, n_bytes long, ids_crc32 long, decoded string")

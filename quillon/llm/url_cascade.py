@@ -21,7 +21,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut
+from .shared import cut, lean
 
 #: Bits of a level that are broadcast at most; a list beyond it is an error, not a slow join.
 MOST_BITS = 2**32
@@ -85,7 +85,7 @@ def _level(keys: DataFrame, n: int, rate: float, depth: int) -> Level:
     bits = max(64, ceil(-n * log(rate) / log(2) ** 2))
     if bits > MOST_BITS:
         raise ValueError(f"{n} keys need {bits} bits, more than may be broadcast")
-    made = keys.mapInArrow(partial(_bits, bits=bits, hashes=hashes, depth=depth), "word long, mask long")
+    made = keys.mapInArrow(lean(partial(_bits, bits=bits, hashes=hashes, depth=depth)), "word long, mask long")
     words = np.zeros(bits // 64 + 1, np.uint64)
     got = made.groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()  # bounded by the bits of the level
     words[got.column("word").to_numpy()] = got.column("mask").to_numpy().view(np.uint64)
@@ -118,7 +118,7 @@ def build_cascade(listed: DataFrame, universe: DataFrame, rate: float = 0.5) ->
         if depth > 200:
             raise ValueError("two keys have the same hashes")
         shared = spark.sparkContext.broadcast(levels[-1])
-        through = (universe.select("h1", "h2") if other is None else other).mapInArrow(partial(_passing, shared=shared, depth=depth), HASHED)
+        through = (universe.select("h1", "h2") if other is None else other).mapInArrow(lean(partial(_passing, shared=shared, depth=depth)), HASHED)
         if other is None:
             through = through.distinct().join(here, ["h1", "h2"], "left_anti")
         through = cut(through, "passed")
@@ -201,6 +201,6 @@ def judge_urls(pages: DataFrame, rules: DataFrame, otherwise: str = "allow") ->
     cascades = {r.verdict: build_cascade(cleaned.filter(F.col("verdict") == r.verdict).select(h1.alias("h1"), h2.alias("h2")), universe) for r in cleaned.select("verdict").distinct().orderBy("verdict").collect()}
     pairs = F.transform(keys, lambda k: F.struct(hashes(k)[0].alias("h1"), hashes(k)[1].alias("h2")))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in split.schema)
-    judged = split.withColumn("keys", pairs).mapInArrow(partial(_judge, shared=spark.sparkContext.broadcast(cascades)), f"{schema}, rule_at int, rule_verdict string")
+    judged = split.withColumn("keys", pairs).mapInArrow(lean(partial(_judge, shared=spark.sparkContext.broadcast(cascades))), f"{schema}, rule_at int, rule_verdict string")
     found = F.when(F.col("rule_at") >= 0, F.get(keys, F.col("rule_at")))
     return judged.select(*split.columns, found.alias("rule"), F.coalesce("rule_verdict", F.lit(otherwise)).alias("verdict"))

@@ -85,7 +85,7 @@ def test_records(spark, rows):
 
 def test_torn_records_are_errors(tmp_path):
     path = tmp_path / "x.rec"
-    for data in (records.frame(1, b"\1\0\0\0"), records.frame(None, b"\0\0\1\0" * 3)):
+    for data in (records.frame(1, np.array([1], np.uint32)), records.frame(None, np.array([65536] * 3, np.uint32))):
         path.write_bytes(data)
         assert len(list(records.read_records(str(path)))) == 1
         for torn in (data[:-1], data[:9], bytes([data[0] ^ 1]) + data[1:], data[:-6] + bytes([data[-6] ^ 4]) + data[-5:]):
