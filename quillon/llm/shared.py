@@ -16,6 +16,11 @@ from pyspark.sql import DataFrame, SparkSession
 _own_folder: str | None = None
 
 
+#: Bytes of an Arrow batch between Spark and a Python worker.
+BATCH_BYTES = 8 << 20
+_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def workdir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
@@ -149,7 +154,14 @@ class _Lean:
 
 
 def lean(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> _Lean:
-    """``work`` on a task's batches, after which the worker gives its free memory back; for ``mapInArrow``."""
+    """``work`` on a task's batches in little memory, for ``mapInArrow``.
+
+    Batches are bounded by BATCH_BYTES where the session leaves Spark's default, which lets each task hold 64 MB on
+    either side of the pipe; and after a task the worker gives its free memory back.
+    """
+    spark = SparkSession.getActiveSession()
+    if spark is not None and spark.conf.get(_BATCH_BYTES, None) in ("64MB", "64m", "67108864b", "67108864"):
+        spark.conf.set(_BATCH_BYTES, BATCH_BYTES)
     return _Lean(work)
 
 
