@@ -2,7 +2,10 @@
 
 A node's ball bounds the inner product of anything in it with a query q by q.c + |q| r. Each query visits the
 leaves of a shard in falling order of that bound and stops where it is below the k-th score it already has.
-Shards share those scores: one seed shard is searched first, and every other one starts from its k-th scores.
+
+Vectors belong to the cell of their nearest centre, and a large cell is dealt over several shards. Every cell has
+a root ball around its centre. A query first visits the cell of highest bound; its k-th score there goes with it to
+the other cells, and only to those whose root bound reaches it.
 """
 
 from __future__ import annotations
@@ -12,6 +15,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,8 +24,12 @@ from .shared import Rows, cut, groups_of, lean
 LEAF = 256
 #: Vectors of a shard and queries of a block; the task that joins one of each holds both.
 SHARD, QUERIES = 16384, 4096
-FOUND = "query_row long, query_id long, vec_id long, score long"
-_FOUND = pa.schema([("query_row", pa.int64()), ("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+#: Vectors of a cell, and cells at most; centres come from CELL_SAMPLE vectors for each, so the driver holds no more.
+CELL, MOST_CELLS, CELL_SAMPLE = 8192, 256, 8
+#: Cells up to this count (a row each) are broadcast; only a table of very many widths has more.
+BROADCAST_CELLS = 100_000
+FOUND = "asked long, score long, vec_id long"
+_FOUND = pa.schema([("asked", pa.int64()), ("score", pa.int64()), ("vec_id", pa.int64())])
 
 
 def leaves_of(x: np.ndarray, order: np.ndarray) -> list[np.ndarray]:
@@ -120,21 +128,84 @@ def _whole(column: pa.Array, n: int) -> np.ndarray:
 
 def _search(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     out, shard, tree = Rows(_FOUND), None, None
-    for group in groups_of(batches, ["shard", "block"]):
-        x = _whole(group.column("v"), group.num_rows)
-        ids = group.column("vec_id").to_numpy()
+    for group in groups_of(batches, ["width", "cell", "part", "block"]):
+        here = tuple(group.column(c)[0].as_py() for c in ("width", "cell", "part"))
+        x, ids = _whole(group.column("v"), group.num_rows), group.column("vec_id").to_numpy()
         if group.column("block")[0].as_py() < 0:  # the shard's vectors come before the blocks of queries
-            shard, tree = group.column("shard")[0].as_py(), BallTree(x, ids)
-            continue
-        if shard != group.column("shard")[0].as_py():
-            continue  # a shard without vectors
-        least = group.column("least").to_numpy(zero_copy_only=False)
-        query_row = group.column("query_row").to_numpy()
-        i, found, score = search(tree, x, ids, least, k)
-        yield from out.add(query_row[i], ids[i], found, score)
+            shard, tree = here, BallTree(x, ids)
+        elif shard == here:
+            asked, least = group.column("asked").to_numpy(), group.column("least").to_numpy(zero_copy_only=False)
+            i, found, score = search(tree, x, ids, least, k)
+            yield from out.add(asked[i], score, found)
     yield from out.flush()
 
 
+def _centres(x: np.ndarray, n: int, rounds: int = 6) -> np.ndarray:
+    """Means of ``n`` clusters of a sample, from its first rows on."""
+    centre = np.unique(x[:n], axis=0)
+    for _ in range(rounds):
+        near = np.argmin((centre**2).sum(axis=1) - 2 * (x @ centre.T), axis=1)
+        centre = np.stack([x[near == j].mean(axis=0) if (near == j).any() else centre[j] for j in range(len(centre))])
+    return centre
+
+
+def _cells_of(rows: DataFrame, n: int) -> dict[int, np.ndarray]:
+    """Centres for each width that a bounded sample holds, those of smallest hash; other widths are one cell each."""
+    cells = int(min(max(n // CELL, 1), MOST_CELLS))
+    sample = rows.select("vec_id", "v").orderBy(F.xxhash64("vec_id", F.lit(8)), "vec_id").limit(CELL_SAMPLE * cells).select("v").toArrow().column("v").to_pylist()
+    by_width: dict[int, list] = {}
+    for v in sample:
+        by_width.setdefault(len(v), []).append(v)
+    return {w: _centres(np.array(x, float), max(cells * len(x) // len(sample), 1)) for w, x in by_width.items()}
+
+
+def _place(batches: Iterator[pa.RecordBatch], shared: Broadcast) -> Iterator[pa.RecordBatch]:
+    """Cell of each vector, and its distance to the centre."""
+    for batch in batches:
+        cell, far = np.zeros(batch.num_rows, np.int32), np.zeros(batch.num_rows)
+        for rows, x in _by_width(batch):
+            if (centres := shared.value.get(x.shape[1])) is None:
+                continue
+            square = (centres**2).sum(axis=1) - 2 * (x.astype(float) @ centres.T)
+            cell[rows] = np.argmin(square, axis=1)
+            far[rows] = np.sqrt(((x - centres[cell[rows]]) ** 2).sum(axis=1))
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell), pa.array(far)], names=[*batch.schema.names, "cell", "far"])
+
+
+def _by_width(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    widths = batch.column("width").to_numpy()
+    for w in np.unique(widths).tolist():
+        rows = np.flatnonzero(widths == w)
+        for at in range(0, len(rows), 4096):
+            some = rows[at : at + 4096]
+            yield some, _whole(batch.column("v").take(pa.array(some)), len(some))
+
+
+def _visits(batches: Iterator[pa.RecordBatch], shared: Broadcast, first: bool) -> Iterator[pa.RecordBatch]:
+    """The cells that a query visits: the one of highest bound at ``first``, then those whose bound reaches its k-th score."""
+    for batch in batches:
+        least = batch.column("least").to_numpy(zero_copy_only=False)
+        cells: list = [None] * batch.num_rows
+        for rows, x in _by_width(batch):
+            cell, centres, radii = shared.value.get(x.shape[1], ([0], np.zeros((1, x.shape[1])), np.array([np.inf])))
+            q = x.astype(float)
+            norm = np.sqrt((q * q).sum(axis=1))
+            reach = norm[:, None] * radii
+            bound = q @ centres.T + np.where(np.isnan(reach), 0, reach)
+            bound += 1e-9 * np.abs(bound) + 1e-6  # for rounding: scores are whole numbers
+            best = np.argmax(bound, axis=1)
+            go = np.zeros(bound.shape, bool)
+            if first:
+                go[np.arange(len(q)), best] = True
+            else:
+                go = bound >= least[rows][:, None]
+                go[np.arange(len(q)), best] = False
+            for r, own in zip(rows.tolist(), go, strict=True):
+                cells[r] = [cell[j] for j in np.flatnonzero(own).tolist()]
+        rest = [c for c in batch.schema.names if c != "cells"]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(cells, pa.list_(pa.int32()))], names=[*rest, "cells"])
+
+
 def scaled(embedding: Column, scale: int) -> Column:
     """floor(scale * x) of each component as a whole number; null where a component is null or not finite."""
     x = embedding.cast("array<double>")
@@ -145,43 +216,57 @@ def scaled(embedding: Column, scale: int) -> Column:
 def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256) -> DataFrame:
     """query_id, rank, vec_id, score: the k rows of highest integer inner product for each query row.
 
-    ``vectors`` has vec_id and embedding; ``is_query`` is true for the query rows, candidates are all rows but
-    those of the query's own vec_id. Scores are inner products of floor(scale * x), ties go to the smaller
+    ``vectors`` has vec_id and embedding; ``is_query`` is true for the query rows, candidates are all rows of the
+    query's width but those of its own vec_id. Scores are inner products of floor(scale * x), ties go to the smaller
     vec_id; a query with fewer candidates gets them all. Rows without vec_id, and vectors that are null, empty
-    or hold null or non-finite components take no part, nor do vectors of another width than the most frequent
-    one's. Rows that repeat a vec_id are candidates each, and queries each, with k rows of their own; equal query
-    rows are searched once and their answer is repeated. Other columns are not read. An empty table gives no rows. A scaled component must stay below 2^31.
+    or hold null or non-finite components take no part. Rows that repeat a vec_id are candidates each, and each
+    repeated query row has ranks of its own from 1; equal ones are searched once and their answer is repeated.
+    Other columns are not read. An empty table gives no rows. A scaled component that no 64-bit integer holds, or
+    whose scores might pass one, is an error.
     """
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), scaled(F.col("embedding"), scale).alias("v"), F.coalesce(is_query, F.lit(False)).alias("q")).filter("vec_id is not null and v is not null")
-    rows = cut(rows.withColumn("query_row", F.when(F.col("q"), F.xxhash64("vec_id", "v"))), "scaled")
-    common = rows.groupBy(F.size("v").alias("width")).count().orderBy(F.desc("count"), "width").first()
-    if common is None:
-        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    rows = rows.filter(F.size("v") == common.width)
-    n, n_queries = common["count"], rows.filter("q").count()
-    shards, blocks = -(-n // SHARD), max(-(-n_queries // QUERIES), 1)
-    placed = rows.select(F.pmod(F.xxhash64("vec_id", F.lit(5)), F.lit(shards)).cast("int").alias("shard"), F.lit(-1).alias("block"), "vec_id", "v", F.lit(0.0).alias("least"), F.lit(0).cast("long").alias("query_row"))
-    queries = rows.filter("q").select(F.pmod(F.xxhash64("vec_id", F.lit(6)), F.lit(blocks)).cast("int").alias("block"), "vec_id", "v", "query_row")
-    repeated = cut(queries.groupBy("query_row", "vec_id").agg(F.count("*").alias("times")).filter("times > 1"), "repeated")
-    some = bool(repeated.head(1))
-    queries = queries.dropDuplicates(["query_row", "vec_id"]) if some else queries
-    keys = ["shard", "block"]
-
-    def searched(where: Column, asked: DataFrame) -> DataFrame:
-        both = placed.filter(where).unionByName(asked)
-        return both.repartition(max(shards, 1), "shard").sortWithinPartitions(*keys, "vec_id").mapInArrow(lean(partial(_search, k=k)), FOUND)
-
-    # The seed shard's k-th scores are where the search of the others starts: what is below cannot be among the best.
-    seed = cut(searched(F.col("shard") == 0, queries.select(F.lit(0).alias("shard"), "block", "vec_id", "v", F.lit(float("-inf")).alias("least"), "query_row")), "seed")
-    if shards > 1:
-        # A row per query: the k-th score so far, or nothing where the seed shard had fewer candidates.
-        kth = seed.groupBy("query_row").agg(F.when(F.count("*") >= k, F.min("score")).cast("double").alias("least"))
-        started = queries.join(kth, "query_row", "left").select("block", "vec_id", "v", F.coalesce("least", F.lit(float("-inf"))).alias("least"), "query_row")
-        others = started.select(F.explode(F.sequence(F.lit(1), F.lit(shards - 1))).alias("shard"), "block", "vec_id", "v", "least", "query_row")
-        seed = seed.unionByName(searched(F.col("shard") > 0, others))
-    best = Window.partitionBy("query_row", "query_id").orderBy(F.desc("score"), "vec_id")
-    found = seed.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
-    if some:
-        times = repeated.select("query_row", F.col("vec_id").alias("query_id"), "times")
-        found = found.join(times, ["query_row", "query_id"], "left").withColumn("time", F.explode(F.sequence(F.lit(1), F.coalesce("times", F.lit(1)).cast("int"))))
-    return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    spark = vectors.sparkSession
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), scaled(F.col("embedding"), scale).alias("v"), F.coalesce(is_query, F.lit(False)).alias("q"))
+    rows = cut(rows.filter("vec_id is not null and v is not null").withColumn("width", F.size("v")), "scaled")
+    largest = rows.agg(F.count("*").alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda m, x: F.greatest(m, F.abs(x.cast("double"))))).alias("x"), F.max("width").alias("width")).first()
+    if not largest.n:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    if largest.x**2 * largest.width >= 2**63:
+        raise ValueError(f"scores of components up to {largest.x:g} in {largest.width} dimensions pass 64 bits")
+    centres = _cells_of(rows, largest.n)
+    placed = cut(rows.select("vec_id", "v", "q", "width").mapInArrow(lean(partial(_place, shared=spark.sparkContext.broadcast(centres))), "vec_id long, v array<long>, q boolean, width int, cell int, far double"), "cells")
+    sizes = placed.groupBy("width", "cell").agg(F.max("far").alias("far"), F.ceil(F.count("*") / SHARD).cast("int").alias("parts"))
+    # At most MOST_CELLS + the sample's widths are known to the driver; a cell of another width is always visited.
+    sizes = cut(sizes, "sizes")
+    known, few = sizes.filter(F.col("width").isin(list(centres))).collect(), sizes.count() <= BROADCAST_CELLS
+    parts = sizes.select("width", "cell", "parts")
+    parts = F.broadcast(parts) if few else parts
+    roots = {}
+    for w in centres:
+        own = sorted((r.cell, r.far) for r in known if r.width == w)
+        roots[w] = ([c for c, _ in own], centres[w][[c for c, _ in own]], np.array([1.0001 * far + 1e-6 for _, far in own]))
+    shared_roots = spark.sparkContext.broadcast(roots)
+    # A query is a vec_id with a vector; equal rows ask once.
+    asked = placed.filter("q").groupBy("vec_id", "v", "width").agg(F.count("*").alias("times"))
+    asked = cut(asked.withColumn("asked", F.xxhash64("vec_id", "v")), "queries")
+    blocks = max(-(-asked.count() // QUERIES), 1)
+    parted = placed.join(parts, ["width", "cell"])
+    shards = parted.select("width", "cell", F.pmod(F.xxhash64("vec_id", F.lit(5)), "parts").cast("int").alias("part"), F.lit(-1).alias("block"), "vec_id", "v", F.lit(0.0).alias("least"), F.lit(0).cast("long").alias("asked"))
+    tasks = max(sum(r.parts for r in known), 1)
+
+    def searched(queries: DataFrame, first: bool) -> DataFrame:
+        visits = queries.mapInArrow(lean(partial(_visits, shared=shared_roots, first=first)), "vec_id long, v array<long>, width int, least double, asked long, cells array<int>")
+        dealt = visits.withColumn("cell", F.explode("cells")).join(parts, ["width", "cell"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        block = F.pmod(F.xxhash64("asked", F.lit(6)), F.lit(blocks)).cast("int").alias("block")
+        both = shards.unionByName(dealt.select("width", "cell", "part", block, "vec_id", "v", "least", "asked"))
+        keys = ["width", "cell", "part"]
+        return cut(both.repartition(min(tasks, 4096), *keys).sortWithinPartitions(*keys, "block", "vec_id").mapInArrow(lean(partial(_search, k=k)), FOUND), "found")
+
+    start = asked.select("vec_id", "v", "width", F.lit(float("-inf")).alias("least"), "asked")
+    found = searched(start, True)
+    # The k-th score so far, or nothing where there were fewer candidates.
+    kth = found.groupBy("asked").agg(F.sort_array(F.collect_list("score"), asc=False).alias("s")).select("asked", F.when(F.size("s") >= k, F.get("s", F.lit(k - 1))).cast("double").alias("kth"))
+    others = start.join(kth, "asked", "left").select("vec_id", "v", "width", F.coalesce("kth", "least").alias("least"), "asked")
+    found = found.unionByName(searched(others, False))
+    best = found.withColumn("rank", F.row_number().over(Window.partitionBy("asked").orderBy(F.desc("score"), "vec_id"))).filter(F.col("rank") <= k)
+    out = best.join(asked.select("asked", F.col("vec_id").alias("query_id"), "times"), "asked").withColumn("time", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
+    return out.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

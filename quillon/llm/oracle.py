@@ -49,7 +49,8 @@ SELECT id AS doc_id, coalesce(n, 0) AS n_shingles, component_id, id = component_
 
 def top_sql(every: int, k: int, scale: int) -> str:
     return f"""
-WITH v AS (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: floor({scale} * x)) AS e FROM embeddings)
+WITH v AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding::DOUBLE[], lambda x: floor({scale} * x)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding::DOUBLE[], lambda x: x IS NULL OR NOT isfinite(x))) = 0)
 SELECT query_id, rank::INT AS rank, vec_id, score FROM (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score,
-  row_number() OVER (PARTITION BY q.vec_id ORDER BY list_inner_product(q.e, c.e) DESC, c.vec_id) AS rank
-  FROM v q JOIN v c ON q.vec_id % {every} = 0 AND q.vec_id <> c.vec_id) WHERE rank <= {k}"""
+  row_number() OVER (PARTITION BY q.r ORDER BY list_inner_product(q.e, c.e) DESC, c.vec_id) AS rank
+  FROM v q JOIN v c ON q.vec_id % {every} = 0 AND q.vec_id <> c.vec_id AND len(q.e) = len(c.e)) WHERE rank <= {k}"""
