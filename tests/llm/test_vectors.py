@@ -15,7 +15,7 @@ def vectors(seed, n=260, width=12):
         x[k : k + 5] = x[k] + 0.12 * r.normal(size=(5, width))
     x[100:160] = x[100]  # one vector holds a large share
     rows = [(int(i), v.tolist()) for i, v in zip(r.permutation(n), x, strict=True)]
-    rows += [(1000, None), (1001, []), (1002, [0.0] * width), (1003, [float("nan")] + [1.0] * (width - 1)), (1004, [float("inf")] * width), (1005, [None] + [1.0] * (width - 1)), (1006, [1.0, 2.0]), (None, [1.0] * width), (1007, [-0.0, *([1.0] * (width - 1))]), (1008, [0.0, *([2.0] * (width - 1))])]
+    rows += [(1000, None), (1001, []), (1002, [0.0] * width), (1003, [float("nan")] + [1.0] * (width - 1)), (1004, [float("inf")] * width), (1005, [None] + [1.0] * (width - 1)), (1006, [1.0, 2.0]), (1009, [1.0, 2.0]), (1010, [2.0, -1.0]), (1020, [2.0, 4.1]), (1030, [3.0]), (1040, [2.0]), (1050, [2.0, 3.0, 4.0]), (None, [1.0] * width), (1007, [-0.0, *([1.0] * (width - 1))]), (1008, [0.0, *([2.0] * (width - 1))])]
     return rows
 
 
@@ -24,7 +24,7 @@ def frame(spark, rows):
 
 
 def sound(v):
-    return v is not None and len(v) > 2 and all(x is not None and np.isfinite(x) for x in v)
+    return v is not None and len(v) > 0 and all(x is not None and np.isfinite(x) for x in v)
 
 
 @pytest.mark.parametrize("small", [False, True])
@@ -32,12 +32,13 @@ def test_range_join(spark, monkeypatch, small):
     if small:
         monkeypatch.setattr(range_join, "CELL", 20)
         monkeypatch.setattr(range_join, "BLOCK", 9)
+        monkeypatch.setattr(range_join, "PASSING", 2)
     rows = vectors(3)
     got = range_join.near_vectors(frame(spark, rows), 0.9).collect()
     own = [(i, np.array(v)) for i, v in rows if i is not None and sound(v) and any(v)]
     ids = np.array([i for i, _ in own])
-    u = np.stack([v / np.linalg.norm(v) for _, v in own])
-    linked = u @ u.T >= 0.9
+    u = [v / np.linalg.norm(v) for _, v in own]
+    linked = np.array([[len(a) == len(b) and a @ b >= 0.9 for b in u] for a in u])
     np.fill_diagonal(linked, False)
     component = ids.copy()
     while (lower := np.minimum(component, np.where(linked, component[None], ids.max()).min(axis=1))).tolist() != component.tolist():
@@ -59,7 +60,7 @@ def best(rows, k, every):
     out = []
     for i, q in own:
         if i % every == 0:
-            ranked = sorted((-sum(a * b for a, b in zip(q, v, strict=True)), j) for j, v in own if j != i)[:k]
+            ranked = sorted((-sum(a * b for a, b in zip(q, v, strict=True)), j) for j, v in own if j != i and len(v) == len(q))[:k]
             out += [(i, n, j, -s) for n, (s, j) in enumerate(ranked, 1)]
     return sorted(out)
 
@@ -67,6 +68,7 @@ def best(rows, k, every):
 @pytest.mark.parametrize(("shard", "block"), [(16384, 4096), (50, 3)])
 def test_top_k(spark, monkeypatch, shard, block):
     monkeypatch.setattr(balltree, "SHARD", shard)
+    monkeypatch.setattr(balltree, "CELL", 2 * shard)
     monkeypatch.setattr(balltree, "QUERIES", block)
     from pyspark.sql import functions as F
 
@@ -81,6 +83,7 @@ def test_top_k(spark, monkeypatch, shard, block):
 @pytest.mark.parametrize("shard", [16384, 50])
 def test_top_k_of_repeated_query_rows(spark, monkeypatch, shard):
     monkeypatch.setattr(balltree, "SHARD", shard)
+    monkeypatch.setattr(balltree, "CELL", shard)
     from pyspark.sql import functions as F
 
     rows = vectors(8)
@@ -106,3 +109,27 @@ def test_ball_tree_prunes_nothing_that_counts(monkeypatch, leaf):
         for k in range(len(q)):
             expected = sorted((-int(x[j] @ q[k]), int(ids[j])) for j in range(240) if ids[j] != own[k])[:5]
             assert sorted((-int(s), int(f)) for s, f in zip(score[i == k], found[i == k], strict=True)) == [e for e in expected if -e[0] >= least[k]]
+
+
+def test_top_k_against_its_sql_with_repeated_ids(spark, tmp_path):
+    """The registered SQL and the operator hold to one law: each query row has ranks of its own."""
+    import duckdb
+    from pyspark.sql import functions as F
+
+    from quillon.llm import oracle
+
+    rows = [(i, v) for i, v in vectors(8) if i is None or i < 1000]
+    rows = [*rows, *[(0, rows[k][1]) for k in (1, 1, 2)], *[(50, rows[k][1]) for k in (3, 3)], (100, [1.0, 2.0]), (7, [1.0, 3.0])]
+    frame(spark, rows).coalesce(1).write.parquet(str(tmp_path / "e"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/e/*.parquet'")
+    expected = sorted(tuple(map(int, r)) for r in con.sql(oracle.top_sql(50, 5, 256)).fetchall())
+    got = balltree.top_k(spark.read.parquet(str(tmp_path / "e")), F.col("vec_id") % 50 == 0, k=5).collect()
+    assert sorted(tuple(r) for r in got) == expected and len([r for r in got if r.query_id == 0]) == 20
+
+
+def test_scores_beyond_long_are_an_error(spark):
+    from pyspark.sql import functions as F
+
+    with pytest.raises(ValueError):
+        balltree.top_k(frame(spark, [(1, [1e9, 1.0]), (2, [1e9, 2.0])]), F.lit(True)).collect()
