@@ -3,6 +3,10 @@
 The pieces and log scores of a ``.model`` file stand in a double-array trie over UTF-8 bytes; Viterbi finds the
 segmentation of highest total score. A character that no piece covers is encoded as byte pieces. Blanks are
 written as the marker, one more stands before the text, and decoding undoes both.
+
+The scores of a unigram file are log probabilities and are taken as they are. A file of another type keeps its pieces'
+merge ranks there, which are no likelihoods: it is refused, unless ``scores="rank"`` asks to read them as a frequency
+order, where the piece of rank r has the probability 1 / r over the sum of all (Zipf's law). No piece is learned here.
 """
 
 from __future__ import annotations
@@ -13,6 +17,7 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import partial
+from math import log
 
 import numpy as np
 import pyarrow as pa
@@ -27,33 +32,55 @@ _ENCODED = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), ("n_tokens",
 #: Fixed values of the file format: piece types, and what an unknown character costs below the least score.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNKNOWN_PENALTY = 10.0
+UNIGRAM = 1
+#: Words of more bytes are segmented each time: a text without blanks is no word to keep.
+KEPT_BYTES = 256
 
 
-def read_pieces(path: str) -> list[tuple[bytes, float, int]]:
-    """(piece, score, type) of each id of a SentencePiece model file."""
-    with open(path, "rb") as f:
-        raw = f.read()
-    out, at = [], 0
+def _fields(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
+    """(number, value) of each field of a protocol buffer message; four- and eight-byte values stay bytes."""
+    at = 0
     while at < len(raw):
         tag, at = _varint(raw, at)
-        if tag & 7 != 2:
-            raise ValueError(f"{path}: not a SentencePiece model")
-        n, at = _varint(raw, at)
-        if tag >> 3 == 1:
-            piece, score, kind, i = b"", 0.0, NORMAL, at
-            while i < at + n:
-                inner, i = _varint(raw, i)
-                if inner == 10:
-                    m, i = _varint(raw, i)
-                    piece, i = raw[i : i + m], i + m
-                elif inner == 21:
-                    (score,), i = struct.unpack_from("<f", raw, i), i + 4
-                elif inner == 24:
-                    kind, i = _varint(raw, i)
-                else:
-                    raise ValueError(f"{path}: an unknown field in a piece")
-            out.append((piece, score, kind))
-        at += n
+        kind = tag & 7
+        if kind == 0:
+            value, at = _varint(raw, at)
+        elif kind in (1, 2, 5):
+            n, at = (8, at) if kind == 1 else (4, at) if kind == 5 else _varint(raw, at)
+            value, at = raw[at : at + n], at + n
+        else:
+            raise ValueError("not a SentencePiece model")
+        yield tag >> 3, value
+
+
+def read_model(path: str) -> tuple[list[tuple[bytes, float, int]], int]:
+    """(piece, score, type) of each id of a SentencePiece model file, and the model's type.
+
+    A file whose texts are normalised, stripped of blanks or marked otherwise than by a marker before words is refused.
+    """
+    with open(path, "rb") as f:
+        raw = f.read()
+    pieces, trainer, normalizer = [], {}, {}
+    for number, value in _fields(raw):
+        if number == 1:
+            own = dict(_fields(value))
+            pieces.append((own.get(1, b""), struct.unpack("<f", own[2])[0] if 2 in own else 0.0, own.get(3, NORMAL)))
+        elif number == 2:
+            trainer = dict(_fields(value))
+        elif number == 3:
+            normalizer = dict(_fields(value))
+    if normalizer.get(2) or not normalizer.get(3, 1) or normalizer.get(4, 1) or not normalizer.get(5, 1) or trainer.get(24):
+        raise ValueError(f"{path}: its texts are normalised in a way that is not built here")
+    return pieces, trainer.get(3, UNIGRAM)
+
+
+def _by_rank(pieces: list[tuple[bytes, float, int]]) -> list[tuple[bytes, float, int]]:
+    """Log probabilities by Zipf's law for normal pieces in their order of score."""
+    order = sorted((i for i, (_, _, kind) in enumerate(pieces) if kind == NORMAL), key=lambda i: (-pieces[i][1], i))
+    total = log(sum(1 / r for r in range(1, len(order) + 1)))
+    out = list(pieces)
+    for r, i in enumerate(order, 1):
+        out[i] = (pieces[i][0], -log(r) - total, NORMAL)
     return out
 
 
@@ -121,8 +148,12 @@ class UnigramModel:
     unknown_score: float
 
     @staticmethod
-    def load(path: str) -> UnigramModel:
-        pieces = read_pieces(path)
+    def load(path: str, scores: str = "log") -> UnigramModel:
+        pieces, kind = read_model(path)
+        if scores == "rank":
+            pieces = _by_rank(pieces)
+        elif kind != UNIGRAM:
+            raise ValueError(f"{path}: a model of type {kind} has merge ranks, not log probabilities")
         keys = {p: i for i, (p, _, kind) in enumerate(pieces) if kind in (NORMAL, USER_DEFINED, UNUSED)}
         if any(MARK in p.lstrip(MARK) for p in keys if not _all_marks(p)):
             raise ValueError("a piece goes over the end of a word")
@@ -199,7 +230,9 @@ class Unigram:
         for w in _WORD.findall(b" " + text.encode()):
             ids = words.get(w)
             if ids is None:
-                ids = words[w] = np.array(self.segment(w.replace(b" ", MARK)), "<u4").tobytes()
+                ids = np.array(self.segment(w.replace(b" ", MARK)), "<u4").tobytes()
+                if len(w) <= KEPT_BYTES:
+                    words[w] = ids
             out.append(ids)
         return b"".join(out)
 
@@ -212,22 +245,22 @@ class Unigram:
 _WORD = re.compile(rb" +[^ ]*|[^ ]+")
 
 
-def share_model(spark: SparkSession, path: str) -> Broadcast:
+def share_model(spark: SparkSession, path: str, scores: str = "log") -> Broadcast:
     """The model of a file for the executors; its size is the vocabulary's, whatever the corpus."""
-    return spark.sparkContext.broadcast(UnigramModel.load(path))
+    return spark.sparkContext.broadcast(UnigramModel.load(path, scores))
 
 
-_coders: dict[str, Unigram] = {}
+_coders: dict[tuple[str, str], Unigram] = {}
 
 
-def _coder(path: str, shared: Broadcast) -> Unigram:
-    """This worker's coder of the file: the words it has met outlive a task."""
+def _coder(path: tuple[str, str], shared: Broadcast) -> Unigram:
+    """This worker's coder of the file and scores: the words it has met outlive a task."""
     if path not in _coders:
         _coders[path] = Unigram(shared.value)
     return _coders[path]
 
 
-def _encode(batches: Iterator[pa.RecordBatch], path: str, shared: Broadcast) -> Iterator[pa.RecordBatch]:
+def _encode(batches: Iterator[pa.RecordBatch], path: tuple[str, str], shared: Broadcast) -> Iterator[pa.RecordBatch]:
     coder = _coder(path, shared)
     is_byte = np.zeros(len(coder.model.pieces), bool)
     is_byte[[i for i in coder.model.byte_ids if i >= 0]] = True
@@ -240,17 +273,17 @@ def _encode(batches: Iterator[pa.RecordBatch], path: str, shared: Broadcast) ->
             yield as_batch(_ENCODED, {"doc_id": doc_ids[a : a + 500], "ids": ids, "n_tokens": [len(x) // 4 for x in ids], "n_bytes": n_bytes})
 
 
-def encode(docs: DataFrame, model_path: str) -> DataFrame:
+def encode(docs: DataFrame, model_path: str, scores: str = "log") -> DataFrame:
     """doc_id, ids (unsigned 32-bit little-endian bytes), n_tokens, n_bytes (byte pieces among them) of each row.
 
     A null or empty text has no ids. Rows with a null or repeated doc_id are encoded like any other. Other
     columns are not read. Each text is encoded whole.
     """
-    shared = share_model(docs.sparkSession, model_path)
-    return docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(lean(partial(_encode, path=model_path, shared=shared)), ENCODED)
+    shared = share_model(docs.sparkSession, model_path, scores)
+    return docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(lean(partial(_encode, path=(model_path, scores), shared=shared)), ENCODED)
 
 
-def _decode(batches: Iterator[pa.RecordBatch], path: str, shared: Broadcast) -> Iterator[pa.RecordBatch]:
+def _decode(batches: Iterator[pa.RecordBatch], path: tuple[str, str], shared: Broadcast) -> Iterator[pa.RecordBatch]:
     coder = _coder(path, shared)
     for batch in batches:
         for a in range(0, batch.num_rows, 500):
@@ -259,14 +292,14 @@ def _decode(batches: Iterator[pa.RecordBatch], path: str, shared: Broadcast) ->
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*part.schema.names, "decoded"])
 
 
-def decode(encoded: DataFrame, model_path: str) -> DataFrame:
+def decode(encoded: DataFrame, model_path: str, scores: str = "log") -> DataFrame:
     """``encoded`` with ``decoded``, the text of its ``ids``; null ids give null. A column of that name is replaced."""
     rest = encoded.drop("decoded")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema)
-    return rest.mapInArrow(lean(partial(_decode, path=model_path, shared=share_model(encoded.sparkSession, model_path))), f"{schema}, decoded string")
+    return rest.mapInArrow(lean(partial(_decode, path=(model_path, scores), shared=share_model(encoded.sparkSession, model_path, scores))), f"{schema}, decoded string")
 
 
-def _round_trip(batches: Iterator[pa.RecordBatch], path: str, shared: Broadcast) -> Iterator[pa.RecordBatch]:
+def _round_trip(batches: Iterator[pa.RecordBatch], path: tuple[str, str], shared: Broadcast) -> Iterator[pa.RecordBatch]:
     coder = _coder(path, shared)
     for encoded in _encode(batches, path, shared):
         ids = encoded.column("ids").to_pylist()
@@ -276,9 +309,9 @@ def _round_trip(batches: Iterator[pa.RecordBatch], path: str, shared: Broadcast)
         )
 
 
-def round_trip(docs: DataFrame, model_path: str) -> DataFrame:
+def round_trip(docs: DataFrame, model_path: str, scores: str = "log") -> DataFrame:
     """doc_id, n_tokens, n_bytes, ids_crc32 and decoded of each row: ``encode`` and ``decode`` in one pass, without
     the ids on the way out. Nulls as there; a null text comes back empty."""
-    shared = share_model(docs.sparkSession, model_path)
+    shared = share_model(docs.sparkSession, model_path, scores)
     rows = docs.selectExpr("cast(doc_id as long) as doc_id", "text")
-    return rows.mapInArrow(lean(partial(_round_trip, path=model_path, shared=shared)), "doc_id long, n_tokens long, n_bytes long, ids_crc32 long, decoded string")
+    return rows.mapInArrow(lean(partial(_round_trip, path=(model_path, scores), shared=shared)), "doc_id long, n_tokens long, n_bytes long, ids_crc32 long, decoded string")
