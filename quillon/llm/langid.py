@@ -16,7 +16,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import lean, plain_strings, text_bytes, text_runs
+from .shared import groups_of, lean, plain_strings, text_bytes, text_runs
 
 #: Hashed n-grams of the normalised text: letters in lower case, every other run as one blank.
 DIMENSIONS = 8192
@@ -24,8 +24,9 @@ ORDERS = (2, 3)
 UNKNOWN = "und"
 #: The floor of a best cosine, as a share of what all but one in 500 training texts reach: clean texts of a few words
 #: lie at less than half of it, texts of other scripts at less than a tenth.
-FLOOR = 0.3
-_MODEL = "langs array<string>, lang_of array<int>, centroids binary, idf binary, floor double"
+FLOOR, FAR_SHARE = 0.3, 0.002
+#: Bins of cosines from 0 to 1 in which training texts are counted for the floor.
+BINS = 4001
 
 
 @dataclass
@@ -58,10 +59,9 @@ def counts(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     points = np.frombuffer(raw.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
     before = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])[offsets]  # code points before each text
     # Each text gets a blank on either side; runs of blanks count once.
-    letters = np.zeros(len(points) + n + 1, np.uint32)
-    at = np.arange(len(points)) + np.repeat(np.arange(1, n + 1), np.diff(before))
-    letters[at] = _letters()[points]
-    begins = before[:-1] + np.arange(n)
+    letters = np.zeros(len(points) + 2 * n, np.uint32)
+    letters[np.arange(len(points)) + np.repeat(2 * np.arange(n) + 1, np.diff(before))] = _letters()[points]
+    begins = before[:-1] + 2 * np.arange(n)
     keep = letters > 0
     keep[1:] |= letters[:-1] > 0
     keep[begins] = True
@@ -96,79 +96,108 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.where(norm > 0, norm, 1)
 
 
-def fit(texts: pa.Array, langs: list[str], clusters: int, rounds: int = 8) -> Model:
-    """Centroids from labelled texts. Starts from the farthest text each time, so it is deterministic."""
-    rows = [(m.astype(np.float32), n) for _, _, m, n in _chunks(texts)]
-    if not rows:
-        return nothing_learned()
-    x = np.concatenate([m for m, _ in rows])
-    some = np.concatenate([n for _, n in rows]) > 0
-    x, labels = x[some], np.array(langs, object)[some]
-    if not len(x):
-        return nothing_learned()
-    idf = np.log((1 + len(x)) / (1 + (x > 0).sum(axis=0))) + 1
-    x = _unit(np.log1p(x) * idf.astype(np.float32))
-    names, centroids, owner, own_best = sorted(set(labels)), [], [], []
-    for k, name in enumerate(names):
-        own = x[labels == name]
-        centre = _unit(own.sum(axis=0, keepdims=True))
-        while len(centre) < min(clusters, len(own)):
-            centre = np.concatenate([centre, own[np.argmin((own @ centre.T).max(axis=1))][None]])
-        for _ in range(rounds):
-            near = np.argmax(own @ centre.T, axis=1)
-            centre = _unit(np.stack([own[near == j].sum(axis=0) if (near == j).any() else centre[j] for j in range(len(centre))]))
-        # A cluster of a few odd texts is not a way of writing the language.
+def centres_of(texts: pa.Array, idf: np.ndarray, clusters: int, rounds: int = 8) -> np.ndarray:
+    """Unit centroids of one language's texts. Starts from texts at even ranks of nearness to their mean, so it is
+    deterministic and no few odd texts make a centroid of their own."""
+    rows = [_unit(np.log1p(m.astype(np.float32)) * idf.astype(np.float32))[n > 0] for _, _, m, n in _chunks(texts)]
+    own = np.concatenate(rows) if rows else np.zeros((0, DIMENSIONS), np.float32)
+    if not len(own):
+        return own
+    ranked = np.argsort(own @ own.sum(axis=0), kind="stable")
+    k = min(clusters, len(own))
+    centre = own[ranked[(2 * np.arange(k) + 1) * len(own) // (2 * k)]]
+    for _ in range(rounds):
         near = np.argmax(own @ centre.T, axis=1)
-        solid = np.bincount(near, minlength=len(centre)) >= max(2, 0.02 * len(own))
-        centre = centre[solid] if solid.any() else centre
-        own_best.append((own @ centre.T).max(axis=1))
-        centroids.append(centre)
-        owner += [k] * len(centre)
-    # Clean texts of a few words lie far out too: the floor is well below what nearly all training texts reach.
-    floor = FLOOR * float(np.quantile(np.concatenate(own_best), 0.002))
-    return Model(names, np.array(owner), np.concatenate(centroids).astype(np.float64), idf, floor)
+        centre = _unit(np.stack([own[near == j].sum(axis=0) if (near == j).any() else centre[j] for j in range(len(centre))]))
+    # A cluster of a few odd texts is not a way of writing the language.
+    near = np.argmax(own @ centre.T, axis=1)
+    solid = np.bincount(near, minlength=len(centre)) >= max(2, 0.02 * len(own))
+    return centre[solid] if solid.any() else centre
 
 
-def _fit_task(batches: Iterator[pa.RecordBatch], clusters: int) -> Iterator[pa.RecordBatch]:
-    held = [b for b in batches if b.num_rows]
-    if not held:
-        return
-    table = pa.Table.from_batches(held).sort_by("order")
-    m = fit(plain_strings(table.column("text")), table.column("lang").to_pylist(), clusters)
-    yield pa.RecordBatch.from_pydict(
-        {"langs": [m.langs], "lang_of": pa.array([m.lang_of.tolist()], pa.list_(pa.int32())), "centroids": [m.centroids.tobytes()], "idf": [m.idf.tobytes()], "floor": [m.floor]}
-    )
+def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many texts of this task hold each n-gram, and at -1 how many have letters."""
+    held, n = np.zeros(DIMENSIONS, np.int64), 0
+    for batch in batches:
+        for _, _, matrix, letters in _chunks(plain_strings(batch.column("text"))):
+            held += (matrix[letters > 0] > 0).sum(axis=0)
+            n += int((letters > 0).sum())
+    some = np.flatnonzero(held)
+    yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1), pa.int32()), pa.array(np.append(held[some], n))], names=["gram", "n"])
+
+
+def _fit_task(batches: Iterator[pa.RecordBatch], shared: Broadcast, clusters: int) -> Iterator[pa.RecordBatch]:
+    for group in groups_of(batches, ["lang"]):
+        centre = centres_of(plain_strings(group.column("text")), shared.value, clusters)
+        if len(centre):
+            yield pa.RecordBatch.from_arrays([pa.array([group.column("lang")[0].as_py()]), pa.array([centre.astype(np.float32).tobytes()])], names=["lang", "centroids"])
+
+
+def _nearness(batches: Iterator[pa.RecordBatch], shared: Broadcast) -> Iterator[pa.RecordBatch]:
+    """How many texts of this task have their language's best cosine in each bin."""
+    model, held = shared.value, np.zeros(BINS, np.int64)
+    number = {name: k for k, name in enumerate(model.langs)}
+    for batch in batches:
+        own = np.array([number.get(x, -1) for x in batch.column("lang").to_pylist()])
+        for a, b, matrix, letters in _chunks(plain_strings(batch.column("text"))):
+            cosine = np.where(model.lang_of == own[a:b, None], cosines(model, matrix), -1).max(axis=1, initial=-1)
+            held += np.bincount((np.clip(cosine[(letters > 0) & (cosine >= 0)], 0, 1) * (BINS - 1)).astype(int), minlength=BINS)
+    some = np.flatnonzero(held)
+    yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(held[some])], names=["bin", "n"])
 
 
-def train(labelled: DataFrame, per_language: int = 400, clusters: int = 4) -> Model:
-    """Fit on at most ``per_language`` rows (text, lang) of each language: those of smallest text hash.
+def train(labelled: DataFrame, per_language: int = 400, clusters: int = 4, most_languages: int = 500) -> Model:
+    """Fit on rows (text, lang); rows without a language or text are not learned from.
 
-    The bound is the parameter; the sample is taken in parallel, each task keeping no more rows of a language
-    than that, and fitted in one task. Rows without a language or text are not learned from.
+    Document frequencies and the floor are taken over all of them. The centroids of each language come from at most
+    ``per_language`` of its distinct texts, those of smallest hash; each language is fitted in a task of its own. Only
+    the ``most_languages`` of most texts are learned (ties in order of name), so that a noisy column gives no model
+    beyond that size. Both bounds are parameters. No usable rows: nothing is learned.
     """
+    spark = labelled.sparkSession
     rows = labelled.filter("lang is not null and text is not null").select("text", "lang", F.xxhash64("text").alias("order"))
+    grams = dict(rows.select("text").mapInArrow(lean(_frequencies), "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect())  # at most DIMENSIONS + 1
+    if not grams.get(-1):
+        return nothing_learned()
+    df = np.array([grams.get(k, 0) for k in range(DIMENSIONS)])
+    idf = np.log((1 + grams[-1]) / (1 + df)) + 1
     # A row per language: hashes up to the bound hold four times the sample, so few rows meet to be ranked.
-    sizes = rows.groupBy("lang").agg(F.approx_count_distinct("order").alias("n"))
+    sizes = rows.groupBy("lang").agg(F.approx_count_distinct("order").alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages)
     bound = F.least(F.lit(1.0), F.lit(4.0 * per_language) / F.col("n")) * 2.0**64 - 2.0**63
     low = rows.select("lang", "order").join(F.broadcast(sizes), "lang").filter(F.col("order") <= bound).select("lang", "order")
     # Copies of a text count once, or one large group of them would be all of the sample.
     ranked = low.distinct().withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("order")))
     chosen = ranked.filter(F.col("rank") <= per_language).drop("rank")  # per_language rows of each language: broadcast
-    sample = rows.join(F.broadcast(chosen), ["lang", "order"]).dropDuplicates(["lang", "order"]).repartition(1)
-    got = sample.mapInArrow(lean(partial(_fit_task, clusters=clusters)), _MODEL).first()
-    if got is None:
+    sample = rows.join(F.broadcast(chosen), ["lang", "order"]).dropDuplicates(["lang", "order"])
+    fit = partial(_fit_task, shared=spark.sparkContext.broadcast(idf), clusters=clusters)
+    got = sample.repartition("lang").sortWithinPartitions("lang", "order").mapInArrow(lean(fit), "lang string, centroids binary").orderBy("lang").collect()
+    if not got:
         return nothing_learned()
-    shape = (-1, DIMENSIONS)
-    return Model(list(got.langs), np.array(got.lang_of), np.frombuffer(got.centroids).reshape(shape), np.frombuffer(got.idf), got.floor)
+    each = [np.frombuffer(r.centroids, np.float32).reshape(-1, DIMENSIONS) for r in got]
+    model = Model([r.lang for r in got], np.repeat(np.arange(len(got)), [len(x) for x in each]), np.concatenate(each).astype(np.float64), idf, 0.0)
+    near = rows.select("text", "lang").mapInArrow(lean(partial(_nearness, shared=spark.sparkContext.broadcast(model))), "bin int, n long").groupBy("bin").agg(F.sum("n").alias("n")).orderBy("bin").collect()
+    # Clean texts of a few words lie far out too: the floor is well below what nearly all training texts reach.
+    total, before = sum(r.n for r in near), 0
+    for r in near:
+        before += r.n
+        if before > FAR_SHARE * total:
+            model.floor = FLOOR * r.bin / (BINS - 1)
+            break
+    return model
+
+
+def cosines(model: Model, matrix: np.ndarray) -> np.ndarray:
+    """Cosine of each row of n-gram counts with each centroid."""
+    weights = np.log1p(matrix) * model.idf
+    norm = np.sqrt((weights * weights).sum(axis=1))
+    return (weights @ model.centroids.T) / np.where(norm > 0, norm, 1)[:, None]
 
 
 def score(model: Model, matrix: np.ndarray, letters: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Language, cosine and rejection of each row of n-gram counts."""
     if not len(model.langs):
         return [UNKNOWN] * len(matrix), np.zeros(len(matrix)), np.ones(len(matrix), bool)
-    weights = np.log1p(matrix) * model.idf
-    norm = np.sqrt((weights * weights).sum(axis=1))
-    cosine = (weights @ model.centroids.T) / np.where(norm > 0, norm, 1)[:, None]
+    cosine = cosines(model, matrix)
     best = np.argmax(cosine, axis=1)
     top = np.clip(cosine[np.arange(len(best)), best], 0, 1)
     known = letters > 0

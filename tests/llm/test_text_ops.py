@@ -66,6 +66,72 @@ def test_held_out_accuracy(spark, sf):
     assert all(0 <= r.score <= 1 for r in got) and sum(r.rejected for r in got) == 0
 
 
+def grams(text):
+    """Counts of hashed n-grams in plain Python: letters in lower case, other runs one blank, one at either end."""
+    seq = [0]
+    for c in text:
+        low = c.lower() if len(c.lower()) == 1 else c
+        x = ord(low) if c.isalpha() else 0
+        if x or seq[-1]:
+            seq.append(x)
+    if seq[-1]:
+        seq.append(0)
+    out = {}
+    for k in (2, 3):
+        for i in range(len(seq) - k + 1):
+            h = k
+            for x in seq[i : i + k]:
+                h = ((h ^ x) * 0x9E3779B97F4A7C15) % 2**64
+                h ^= h >> 29
+            out[(h >> 20) % langid.DIMENSIONS] = out.get((h >> 20) % langid.DIMENSIONS, 0) + 1
+    return out
+
+
+def test_scores_against_plain_python(spark, sf):
+    """Document frequencies over all texts, weights, cosines, choice and floor, computed one by one."""
+    rows = [r for r in spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").limit(60).collect()]
+    rows += [(-1, "αβγ Αθήνα", "el", "s", 1), (-2, "123", "en", "s", 1), (-3, None, "en", "s", 1), (-4, "no label here", None, "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    model = langid.train(docs, per_language=20, clusters=2)
+    learned = [grams(r[1]) for r in rows if r[1] and r[2] and any(c.isalpha() for c in r[1])]
+    df = {}
+    for g in learned:
+        for k in g:
+            df[k] = df.get(k, 0) + 1
+    idf = [np.log((1 + len(learned)) / (1 + df.get(k, 0))) + 1 for k in range(langid.DIMENSIONS)]
+    assert np.allclose(model.idf, idf)
+    assert np.allclose((model.centroids**2).sum(axis=1), 1, atol=1e-5) and set(model.langs) == {r[2] for r in rows if r[2]}
+    got = {r.doc_id: r for r in langid.identify(docs, model).collect()}
+    near = []
+    for r in rows:
+        if not r[1] or not any(c.isalpha() for c in r[1]):
+            continue
+        g = grams(r[1])
+        w = {k: np.log1p(n) * idf[k] for k, n in g.items()}
+        norm = np.sqrt(sum(x * x for x in w.values()))
+        cosine = [sum(x * c[k] for k, x in w.items()) / norm for c in model.centroids]
+        best = int(np.argmax(cosine))
+        if r[2]:
+            near.append(max(c for c, owner in zip(cosine, model.lang_of, strict=True) if model.langs[owner] == r[2]))
+        assert got[r[0]].lang_pred == model.langs[model.lang_of[best]] and got[r[0]].lang_score == pytest.approx(min(max(cosine[best], 0), 1))
+        assert got[r[0]].lang_rejected == (cosine[best] < model.floor)
+    assert model.floor == pytest.approx(langid.FLOOR * min(near), abs=1 / langid.BINS)
+
+
+def test_many_labels_and_ties(spark):
+    texts = [(f"l{k:02d}", f"{'abcdefghij'[k % 10] * 3} {'klmnopqrst'[k // 10] * 4} w{chr(97 + k % 26)} {chr(97 + j)}") for k in range(40) for j in range(6)]
+    docs = spark.createDataFrame([(i, t, lang) for i, (lang, t) in enumerate(texts)], "doc_id long, text string, lang string")
+    model = langid.train(docs)
+    assert len(model.langs) == 40
+    got = langid.identify(docs, model).collect()
+    assert sum(r.lang == r.lang_pred for r in got) == len(texts)
+    few = langid.train(docs, most_languages=3)
+    assert few.langs == ["l00", "l01", "l02"]
+    same = spark.createDataFrame([(1, "one text", "x"), (2, "one text", "b"), (3, "one text", "a")], "doc_id long, text string, lang string")
+    clash = same.selectExpr("doc_id", "text", "'k' as lang_score", "'k' as lang_rejected", "1 as order", "2 as lang")
+    assert {(r.lang_pred, r.lang) for r in langid.identify(clash, langid.train(same)).collect()} == {("a", 2)}
+
+
 def test_odd_texts_and_no_labels(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     model = langid.train(docs, per_language=30)
