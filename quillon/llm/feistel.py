@@ -13,7 +13,7 @@ email  one @ between name and host          host, separators, case and class of
 card   Luhn sum, 13 to 19 digits            length, grouping, a valid Luhn sum
 iban   mod-97 sum, 15 to 34 characters      country, classes of characters, a valid sum
 ssn    area, group, serial not reserved     hyphens, the validation
-phone  +country and 7 to 14 digits          country code, grouping
+phone  +country code and 7 to 14 digits     country code, grouping (any grouping, one pseudonym)
 ip     four octets up to 255                digits in each octet
 date   a day of the calendar, 1900 to 2099  order and separators, a day of that range
 secret 32 to 64 hexadecimal digits of both  length, case
@@ -23,7 +23,8 @@ secret 32 to 64 hexadecimal digits of both  length, case
 Phones, cards and IBANs may hold blanks and hyphens, so a match can run into a number that follows. Its ends at
 group boundaries are tried, the likeliest first: a phone stops before an address, a date, an ssn or a card, at ten
 digits after +1, and at a blank behind ten digits joined by hyphens or dots; a card is sought in its usual groups, an
-IBAN in its country's length; then the longest valid one counts. What stays open: a short number after a phone that
+IBAN in its country's length; then the longest valid one counts. Numbers without a country's code (555-123-4567) and
+dates without leading zeros (3/12/2020) are no values here and stay. E-mail names that differ in case are different values. What stays open: a short number after a phone that
 is written in blanks alone (+49 30 1234567 12) is read as its last group. A card in unusual groups or an IBAN of
 an unlisted country beside other numbers may be cut otherwise when the step is undone, if a longer sum fits by chance.
 """
@@ -33,6 +34,7 @@ from __future__ import annotations
 import datetime
 import hashlib
 import re
+import string
 from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -134,13 +136,26 @@ def _ssn(s: str, key: bytes, back: bool) -> str | None:
     return f"{area + (area >= 666):03d}-{moved[1] + 1:02d}-{moved[2] + 1:04d}"
 
 
+#: Country calling codes of one and of two digits; all others have three.
+_ONE_DIGIT = "1 7".split()
+_TWO_DIGITS = "20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()
+
+
+def _national(s: str) -> int:
+    """Where the digits behind the country's code begin in a number that starts with +, however it is grouped."""
+    digits = [i for i, c in enumerate(s[:12]) if c.isdigit()]
+    code = "".join(s[i] for i in digits[:2])
+    n = 1 if code[:1] in _ONE_DIGIT else 2 if code in _TWO_DIGITS else 3
+    return digits[n - 1] + 1 if len(digits) >= n else len(s)
+
+
 def _phone(s: str, key: bytes, back: bool) -> str | None:
-    country = re.match(r"\+\d{1,3}(?=\D)", s)
-    kept = country.end() if country else 2
+    kept = _national(s)
     d = re.sub(r"\D", "", s[kept:])
     if not 7 <= len(d) <= 14:
         return None
-    return s[:kept] + _refill(s[kept:], r"\d", iter(str(permute(10 ** len(d), int(d), key, f"phone{s[:kept]}.{len(d)}", back)).zfill(len(d))))
+    code = re.sub(r"\D", "", s[:kept])
+    return s[:kept] + _refill(s[kept:], r"\d", iter(str(permute(10 ** len(d), int(d), key, f"phone+{code}.{len(d)}", back)).zfill(len(d))))
 
 
 def _ip(s: str, key: bytes, back: bool) -> str | None:
@@ -200,7 +215,9 @@ def _letters(s: str, key: bytes, tweak: str, back: bool) -> str:
 
 def _email(s: str, key: bytes, back: bool) -> str | None:
     name, _, host = s.partition("@")
-    return f"{_letters(name, key, 'email@' + host.lower(), back)}@{host}"
+    # Longer names than the format allows are permuted 64 characters at a time.
+    parts = (_letters(name[i : i + 64], key, f"email@{host.lower()}{f'#{i}' if i else ''}", back) for i in range(0, len(name), 64))
+    return f"{''.join(parts)}@{host}"
 
 
 def _secret(s: str, key: bytes, back: bool) -> str | None:
@@ -227,8 +244,7 @@ def _after_blanks(text: str, a: int, b: int) -> list[int]:
 
 def _phone_rank(text: str, a: int, b: int) -> tuple:
     s = text[a:b]
-    country = re.match(r"\+\d{1,3}(?=\D)", s)
-    kept = country.end() if country else 2
+    kept = _national(s)
     apart = not any(_OTHER.match(text, i) or _CARD.match(text, i) for i in _after_blanks(text, a + kept, b))
     ten = s[:kept] != "+1" or len(re.sub(r"\D", "", s[kept:])) == 10
     joined = not any(len(re.sub(r"\D", "", s[kept : kept + m.end()])) >= 10 for m in re.finditer(r"(?<=\d)[.-]\d+(?= )", s[kept:]))
@@ -272,10 +288,23 @@ KINDS = ["email", *(k.name for k in _DIGIT_KINDS)]
 #: What any of the kinds may begin with: a sign, a digit, or letters that a digit follows soon.
 _START = re.compile(r"(?<![0-9A-Za-z])(?<!\d\.)(?:\+?\d|[A-Z]{2}\d{2}|[A-Fa-f]{1,24}\d)")
 _AT = [(k, re.compile(k.pattern)) for k in _DIGIT_KINDS]
-_NAME = re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9._%+-]*[A-Za-z0-9])?$")
+_SOLID = frozenset(string.ascii_letters + string.digits)
+_IN_NAME = _SOLID | frozenset("._%+-")
 _HOST = re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)*\.[A-Za-z]{2,24}(?![A-Za-z0-9])")
 
 
+def _name_start(text: str, at: int) -> int:
+    """Where the e-mail name before the @ at ``at`` starts; ``at`` if there is none."""
+    if not at or text[at - 1] not in _SOLID:
+        return at
+    a = at
+    while a and text[a - 1] in _IN_NAME:
+        a -= 1
+    while text[a] not in _SOLID:
+        a += 1
+    return a
+
+
 def _ends(kind: Kind, pattern: re.Pattern, text: str, a: int, b: int) -> list[int]:
     """The ends to try for the match from a to b: the greatest rank first, then the longest."""
     if kind.rank is None:
@@ -301,11 +330,9 @@ class Pseudonyms:
         found = []
         at = text.find("@")
         while at >= 0:
-            low = max(0, at - 64)
-            name, host = _NAME.search(text[low:at]), _HOST.match(text, at + 1)
-            if name and host and not (name.start() == 0 and low and text[low - 1].isalnum()):
-                a, b = low + name.start(), host.end()
-                found.append((a, b, "email", self.changed(-1, text[a:b])))
+            a, host = _name_start(text, at), _HOST.match(text, at + 1)
+            if a < at and host:
+                found.append((a, host.end(), "email", self.changed(-1, text[a : host.end()])))
             at = text.find("@", at + 1)
         taken, i = [(a, b) for a, b, _, _ in found], 0
         for m in _START.finditer(text):

@@ -329,3 +329,55 @@ def test_pseudonyms_operator(spark):
     assert all(got[i].text.endswith(new) for i in (3, None, 5))
     assert {r.doc_id: r.text for r in feistel.pseudonymise(feistel.pseudonymise(docs, KEY), KEY, back=True).collect()} == {r.doc_id: r.text for r in docs.collect()}
     assert feistel.pseudonymise(docs.limit(0), KEY).count() == 0
+
+
+def test_long_names_and_phones_in_any_grouping():
+    made, back = feistel.Pseudonyms(b"k"), feistel.Pseudonyms(b"k", back=True)
+    for name in ("a" * 70, "ab.C1" * 40, "x" * 64, "." + "y" * 65):
+        text = f"write {name}@example.com now"
+        new, n = made.text(text)
+        own = new[6 : 6 + len(name)]
+        assert n == {"email": 1} and all(a != b for a, b in zip(re.findall(r"[A-Za-z0-9]{30,}", own), re.findall(r"[A-Za-z0-9]{30,}", name), strict=True)) and own != name
+        assert back.text(new)[0] == text
+    same = ["+49 1512 3456789", "+4915123456789", "+49-1512-3456789", "+49 (1512) 345 6789"]
+    assert len({re.sub(r"\D", "", made.text(f"call {p} today")[0]) for p in same}) == 1
+    for p in [*same, "+1 826 555 4081", "+18265554081", "+351 912 345 678", "+351912345678", "+7 912 345 67 89"]:
+        new, n = made.text(f"call {p} today")
+        assert n == {"phone": 1} and back.text(new)[0] == f"call {p} today"
+        code = next(c for c in ("49", "351", "1", "7") if re.sub(r"\D", "", p).startswith(c))
+        assert re.sub(r"\D", "", new).startswith(code) and re.sub(r"\d", "0", new) == re.sub(r"\d", "0", f"call {p} today")
+
+
+def test_spans_are_those_planted():
+    """Values written at known places among words, short numbers and punctuation are found there, and nothing else."""
+    r = random.Random(5)
+
+    def card():
+        d = "".join(r.choice("123456789") for _ in range(15))
+        return next(d + c for c in "0123456789" if sum(sum(divmod(2 * int(x), 10)) if i % 2 else int(x) for i, x in enumerate(reversed(d + c))) % 10 == 0)
+
+    def iban():
+        body = "".join(r.choice("0123456789") for _ in range(18))
+        return f"DE{98 - int(body + '131400') % 97:02d}{body}"
+
+    kinds = {
+        "email": lambda: f"{r.choice(['ann', 'bo.b', 'x_1+y'])}@{r.choice(['mail.example', 'a-b.org'])}",
+        "card": lambda: re.sub(r"(\d{4})(?=\d)", r.choice(["\\1", "\\1 ", "\\1-"]), card()),
+        "iban": iban,
+        "ssn": lambda: f"{r.randrange(1, 600):03d}-{r.randrange(1, 99):02d}-{r.randrange(1, 9999):04d}",
+        "phone": lambda: f"+1 ({r.randrange(100, 999)}) 555-{r.randrange(1000, 9999)}",
+        "ip": lambda: ".".join(str(r.randrange(1, 256)) for _ in range(4)),
+        "date": lambda: f"{r.randrange(1950, 2030)}-{r.randrange(1, 13):02d}-{r.randrange(1, 29):02d}",
+        "secret": lambda: "a1" + "".join(r.choice("0123456789abcdef") for _ in range(38)),
+    }
+    fillers = ["the", "and,", "12", "Nr.", "7.5", "(x)", "é", "a@b", "2024", "12/3", "v1.2.3", "--", "\n", "@", "+5", "ABC"]
+    made = feistel.Pseudonyms(b"k")
+    for _ in range(400):
+        text, planted = "", []
+        for _ in range(r.randrange(1, 7)):
+            text += " ".join(r.choices(fillers, k=r.randrange(0, 4))) + r.choice([" see ", " (", ": ", " to,"])
+            kind = r.choice(list(kinds))
+            value = kinds[kind]()
+            planted.append((len(text), len(text) + len(value), kind))
+            text += value + r.choice([" ok ", ". So ", ", ", ")"])
+        assert [x[:3] for x in made.spans(text)] == planted, text
