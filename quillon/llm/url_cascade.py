@@ -5,7 +5,8 @@ with each prefix of its path of a length that rules have) is looked up in a casc
 listed keys, the second those keys of the corpus that the first lets through wrongly, the third the listed
 keys that the second lets through, and so on until none are left. Over the corpus's keys, membership is exact,
 and looking up takes no join. Levels grow with the list, not with the corpus: the first level's error rate is
-set so that about as many false keys pass as are listed.
+set so that about as many false keys pass as are listed. A list whose levels would be too large to broadcast is cut
+by a hash of the key into parts; each part has a cascade of its own, and the pages pass them one after another.
 """
 
 from __future__ import annotations
@@ -23,8 +24,8 @@ from pyspark.sql import functions as F
 
 from .shared import cut, lean
 
-#: Bits of a level that are broadcast at most; a list beyond it is an error, not a slow join.
-MOST_BITS = 2**32
+#: Bits of a level that are broadcast at most, 32 MB; a longer list is cut into parts.
+MOST_BITS = 2**28
 _SEEDS = (0x51ED270B, 0x7FEB352D)
 HASHED = "h1 long, h2 long"
 
@@ -80,11 +81,26 @@ def _bits(batches: Iterator[pa.RecordBatch], bits: int, hashes: int, depth: int)
         yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(mask.view(np.int64))], names=["word", "mask"])
 
 
+def _bits_for(n: int, rate: float) -> int:
+    return max(64, ceil(-n * log(rate) / log(2) ** 2))
+
+
+def _first_rate(n: int, universe: int, rate: float = 0.5) -> float:
+    """The first level's error rate: about as many false keys pass as are listed."""
+    return min(max(0.7 * n / max(universe, 1), 1e-9), rate)
+
+
+def parts_needed(n: int, universe: int) -> int:
+    """Into how many parts a list of n keys is cut, so that each part's first level may be broadcast."""
+    return ceil(_bits_for(n, _first_rate(n, universe)) / MOST_BITS)
+
+
+def part_of(h2: Column, parts: int) -> Column:
+    return F.pmod(h2, F.lit(parts))
+
+
 def _level(keys: DataFrame, n: int, rate: float, depth: int) -> Level:
-    hashes = max(1, round(-log2(rate)))
-    bits = max(64, ceil(-n * log(rate) / log(2) ** 2))
-    if bits > MOST_BITS:
-        raise ValueError(f"{n} keys need {bits} bits, more than may be broadcast")
+    hashes, bits = max(1, round(-log2(rate))), _bits_for(n, rate)
     made = keys.mapInArrow(lean(partial(_bits, bits=bits, hashes=hashes, depth=depth)), "word long, mask long")
     words = np.zeros(bits // 64 + 1, np.uint64)
     got = made.groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()  # bounded by the bits of the level
@@ -98,6 +114,11 @@ def _passing(batches: Iterator[pa.RecordBatch], shared: Broadcast, depth: int) -
         yield batch.filter(pa.array(passed))
 
 
+def _size(universe: DataFrame) -> int:
+    """Distinct keys, within a few per cent: it sets a rate, nothing more."""
+    return universe.agg(F.approx_count_distinct(F.col("h1")).alias("n")).first().n
+
+
 def build_cascade(listed: DataFrame, universe: DataFrame, rate: float = 0.5) -> Cascade:
     """The cascade of ``listed`` keys over ``universe`` (h1, h2: two hashes of a key, repeats allowed).
 
@@ -108,9 +129,7 @@ def build_cascade(listed: DataFrame, universe: DataFrame, rate: float = 0.5) ->
     n_here = here.count()
     if not n_here:
         return Cascade([])
-    # Distinct keys, within a few per cent: it sets a rate, nothing more.
-    size = universe.agg(F.approx_count_distinct(F.col("h1")).alias("n")).first().n
-    first = min(max(0.7 * n_here / max(size, 1), 1e-9), rate)
+    first = _first_rate(n_here, _size(universe), rate)
     levels, other, n_other = [], None, 1
     while n_here:
         depth = len(levels)
@@ -138,14 +157,16 @@ def split_url(url: Column) -> tuple[Column, Column]:
     return F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), path
 
 
-def candidate_keys(host: Column, path: Column, lengths: list[int]) -> Column:
-    """Every rule that could fit: suffixes of the host at its dots with prefixes of the path of the given lengths,
-    longest first; of two as long, the one with the longer host."""
-    labels = F.split(host, r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    own = [F.when(F.length(path) >= n, F.substring(path, 1, n)) for n in lengths]
-    prefixes = F.filter(F.array(*own), lambda p: p.isNotNull())
-    pairs = F.flatten(F.transform(suffixes, lambda h: F.transform(prefixes, lambda p: F.struct((-F.length(h) - F.length(p)).alias("order"), (-F.length(h)).alias("host"), F.concat(h, p).alias("rule")))))
+def candidate_keys(host: Column, path: Column, shapes: list[tuple[int, int]]) -> Column:
+    """Every rule that could fit: for each shape (labels of a host, characters of a path) that rules have, the host's
+    last labels with the path's first characters, longest first; of two as long, the one with the longer host."""
+    dots = F.length(host) - F.length(F.translate(host, ".", ""))
+    own = []
+    for n_labels, n in shapes:
+        h = F.substring_index(host, ".", -n_labels)
+        pair = F.struct((-F.length(h) - n).alias("order"), (-F.length(h)).alias("host"), F.concat(h, F.substring(path, 1, n)).alias("rule"))
+        own.append(F.when((dots + 1 >= n_labels) & (F.length(path) >= n), pair))
+    pairs = F.filter(F.array(*own), lambda p: p.isNotNull())
     return F.when(host != "", F.transform(F.array_sort(pairs), lambda x: x.rule)).otherwise(F.array().cast("array<string>"))
 
 
@@ -153,7 +174,8 @@ def hashes(key: Column) -> tuple[Column, Column]:
     return F.xxhash64(key, F.lit(_SEEDS[0])), F.xxhash64(F.lit(_SEEDS[1]), key)
 
 
-def _judge(batches: Iterator[pa.RecordBatch], shared: Broadcast) -> Iterator[pa.RecordBatch]:
+def _judge(batches: Iterator[pa.RecordBatch], shared: Broadcast, part: int, parts: int) -> Iterator[pa.RecordBatch]:
+    """The first key of each page that a verdict's list holds, where it lies in this part and before what was found so far."""
     cascades: dict[str, Cascade] = shared.value
     for batch in batches:
         keys = batch.column("keys")
@@ -162,14 +184,18 @@ def _judge(batches: Iterator[pa.RecordBatch], shared: Broadcast) -> Iterator[pa.
         h1, h2 = flat.field("h1").to_numpy(zero_copy_only=False), flat.field("h2").to_numpy(zero_copy_only=False)
         owner = np.repeat(np.arange(len(counts)), counts)
         place = np.arange(len(h1)) - np.repeat(np.cumsum(counts) - counts, counts)
-        hit, verdict = np.full(len(counts), -1, np.int64), np.full(len(counts), None, object)
+        if parts > 1:
+            here = np.flatnonzero(h2 % parts == part)
+            h1, h2, owner, place = h1[here], h2[here], owner[here], place[here]
+        hit = batch.column("rule_at").to_numpy(zero_copy_only=False).astype(np.int64)
+        verdict = np.array(batch.column("rule_verdict").to_pylist(), object)
         for name, cascade in cascades.items():
             found = np.flatnonzero(cascade.has(h1, h2))[::-1]  # so that the first of each url is written last
             first = np.full(len(counts), np.iinfo(np.int64).max)
             first[owner[found]] = place[found]
             better = (first < np.iinfo(np.int64).max) & ((hit < 0) | (first < hit))
             hit[better], verdict[better] = first[better], name
-        rest = [c for c in batch.schema.names if c != "keys"]
+        rest = [c for c in batch.schema.names if c not in ("rule_at", "rule_verdict")]
         yield pa.RecordBatch.from_arrays(
             [*(batch.column(c) for c in rest), pa.array(hit.astype(np.int32)), pa.array(verdict, pa.string())], names=[*rest, "rule_at", "rule_verdict"]
         )
@@ -183,24 +209,37 @@ def judge_urls(pages: DataFrame, rules: DataFrame, otherwise: str = "allow") ->
     decides, and ``otherwise`` where none does. Where two verdicts list the same rule, the first in their order
     counts. A url with an empty path has no path that a rule could start. Null urls, and urls without ``://``, have
     an empty host and path and no rule. Columns of pages by these names are replaced. An empty table, or no
-    rules, is fine. Path lengths of rules are few: the driver holds one of each length, and one of each verdict.
+    rules, is fine. A url of any length gives at most one key for each shape of a rule (labels of its host,
+    characters of its path). The driver holds one row of each shape, and of each verdict.
     """
     spark = pages.sparkSession
     rule = F.when(F.contains("rule", F.lit("/")), F.col("rule")).otherwise(F.concat("rule", F.lit("/")))
     cleaned = cut(rules.filter("rule is not null and verdict is not null").select(rule.alias("rule"), "verdict").distinct(), "rules")
-    length = F.length("rule") - F.instr("rule", "/") + 1
-    lengths = sorted(r[0] for r in cleaned.select(length).distinct().collect())
+    own = F.substring_index("rule", "/", 1)
+    n_labels, length = F.length(own) - F.length(F.translate(own, ".", "")) + 1, F.length("rule") - F.length(own)
+    shapes = sorted(tuple(r) for r in cleaned.select(n_labels.alias("labels"), length.alias("length")).distinct().collect())
     host, path = split_url(F.col("url"))
     rest = pages.drop("host", "path", "rule", "verdict", "rule_at", "rule_verdict", "keys")
     split = rest.withColumn("host", host).withColumn("path", path)
-    keys = candidate_keys(F.col("host"), F.col("path"), lengths) if lengths else F.array().cast("array<string>")
+    keys = candidate_keys(F.col("host"), F.col("path"), shapes) if shapes else F.array().cast("array<string>")
     h1, h2 = hashes(F.col("key"))
     universe = split.select("host", "path").distinct().select(F.explode(keys).alias("key")).select(h1.alias("h1"), h2.alias("h2"))
     universe = cut(universe.distinct(), "keys")
     h1, h2 = hashes(F.col("rule"))
-    cascades = {r.verdict: build_cascade(cleaned.filter(F.col("verdict") == r.verdict).select(h1.alias("h1"), h2.alias("h2")), universe) for r in cleaned.select("verdict").distinct().orderBy("verdict").collect()}
+    listed = cleaned.select("verdict", h1.alias("h1"), h2.alias("h2"))
+    counted = {r.verdict: r.n for r in listed.groupBy("verdict").agg(F.count("*").alias("n")).orderBy("verdict").collect()}
+    size = _size(universe) if counted else 0
+    parts = max([1, *(parts_needed(n, size) for n in counted.values())])
     pairs = F.transform(keys, lambda k: F.struct(hashes(k)[0].alias("h1"), hashes(k)[1].alias("h2")))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in split.schema)
-    judged = split.withColumn("keys", pairs).mapInArrow(lean(partial(_judge, shared=spark.sparkContext.broadcast(cascades))), f"{schema}, rule_at int, rule_verdict string")
+    judged = split.withColumn("keys", pairs).withColumn("rule_at", F.lit(-1)).withColumn("rule_verdict", F.lit(None).cast("string"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in judged.schema if f.name not in ("rule_at", "rule_verdict"))
+    for part in range(parts):
+        here = [x if parts == 1 else x.filter(part_of(F.col("h2"), parts) == part) for x in (listed, universe)]
+        cascades = {v: build_cascade(here[0].filter(F.col("verdict") == v), here[1]) for v in counted}
+        shared = spark.sparkContext.broadcast(cascades)
+        judged = judged.mapInArrow(lean(partial(_judge, shared=shared, part=part, parts=parts)), f"{schema}, rule_at int, rule_verdict string")
+        if parts > 1:  # one part's cascades are held at a time
+            judged = cut(judged, "judged")
+            shared.unpersist()
     found = F.when(F.col("rule_at") >= 0, F.get(keys, F.col("rule_at")))
     return judged.select(*split.columns, found.alias("rule"), F.coalesce("rule_verdict", F.lit(otherwise)).alias("verdict"))

@@ -41,6 +41,20 @@ def test_urls(spark, rules):
     assert got[0].html == "h"
 
 
+def test_long_urls_and_lists_in_parts(spark, monkeypatch):
+    """A host of a million characters costs no more than its shapes; a list cut into parts judges alike."""
+    rules = [(f"h{k}.example{'.org' * (k % 3)}{'/' + 'p' * (k % 4) if k % 2 else ''}", ["allow", "block", "later"][k % 3]) for k in range(60)] + [("org/", "block")]
+    urls = [f"http://{'x.' * (k % 3)}h{k}.example{'.org' * (k % 3)}/{'p' * (k % 5)}" for k in range(70)] + [f"http://{'a.' * 500_000}h3.example/ppp", "http://" + "." * 60_000 + "org/", None]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    listed = spark.createDataFrame([(r if "/" in r else f"{r}/", v) for r, v in rules], "rule string, verdict string")
+    expected = {k: judged(u, [(r if "/" in r else f"{r}/", v) for r, v in rules]) for k, u in enumerate(urls)}
+    for most in (2**28, 64):
+        monkeypatch.setattr(url_cascade, "MOST_BITS", most)
+        got = url_cascade.judge_urls(pages, listed).collect()
+        assert {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in got} == expected
+    assert url_cascade.parts_needed(60, 10**6) > 1
+
+
 def test_cascade_is_exact(spark):
     keys = spark.range(6000).select(*(c.alias(n) for c, n in zip(url_cascade.hashes(F.col("id").cast("string")), ("h1", "h2"), strict=True)), "id")
     listed = keys.filter("id % 7 = 0")
