@@ -24,12 +24,15 @@ _BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 def workdir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where the cluster names none (a local session), a temporary folder of this process is used.
+    Only a local session that names none gets a temporary folder of this process; on a cluster that is an error, since
+    executors would write to disks of their own.
     """
     global _own_folder
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if folder:
         return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if _own_folder is None:
         _own_folder = "file://" + tempfile.mkdtemp(prefix="quillon-")
     return _own_folder

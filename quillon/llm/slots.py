@@ -17,8 +17,6 @@ from pyspark.sql import functions as F
 from .shared import cut, filesystem
 
 SLOTS = 4096
-#: A group of equal texts with more than this share of a shard's bytes or rows is dealt over several slots.
-GROUP_SHARE = 0.5
 
 
 @dataclass(frozen=True)
@@ -96,11 +94,11 @@ def rebalance(old: SlotMap, sizes: Sequence[int], shards: int | None = None, sla
 
 
 def with_slots(docs: DataFrame, shards: int, slots: int = SLOTS) -> DataFrame:
-    """doc_id, size (UTF-8 bytes of the text plus 1), text_crc32, vslot of every row.
+    """doc_id, size (UTF-8 bytes of the text plus 1), text_crc32, vslot, row (a number of its own) of every row.
 
-    The slot is a hash of the text, so that copies share a slot and thereby a shard. Only where one text's copies
-    hold more than GROUP_SHARE of a shard's bytes or rows, of which there are at most 2 * shards / GROUP_SHARE, they are
-    dealt by a hash of doc_id over so many slots that each holds no more than a slot's fair part.
+    The slot is a hash of the text, so that copies share a slot and thereby a shard. A text whose copies together
+    hold more bytes than a shard's equal part, of which there are fewer than ``shards``, fits into none: its rows
+    are dealt by their numbers over so many slots that each holds no more than a slot's equal part.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(
@@ -108,37 +106,43 @@ def with_slots(docs: DataFrame, shards: int, slots: int = SLOTS) -> DataFrame:
         (F.octet_length(text) + 1).cast("long").alias("size"),
         F.crc32(F.encode(text, "utf-8")).alias("text_crc32"),
         F.xxhash64(text).alias("text_hash"),
+        F.monotonically_increasing_id().alias("row"),
     )
-    rows = cut(rows, "sizes")
-    total = rows.agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")).first()
+    rows = cut(rows, "sizes")  # from here on a row keeps its number
+    total = rows.agg(F.sum("size").alias("bytes")).first().bytes or 1
     groups = rows.groupBy("text_hash").agg(F.sum("size").alias("b"), F.count("*").alias("n"))
-    part = F.greatest(F.col("b") / (total.bytes or 1), F.col("n") / (total.rows or 1)) * shards
-    large = groups.filter((part > GROUP_SHARE) & (F.col("n") > 1)).select("text_hash", F.ceil(part * slots / shards).cast("int").alias("salts"))
+    large = groups.filter((F.col("b") * shards > total) & (F.col("n") > 1)).select("text_hash", F.ceil(F.col("b") / total * slots).cast("int").alias("salts"))
     salted = rows.join(F.broadcast(large), "text_hash", "left")
-    salt = F.when(F.col("salts").isNotNull(), F.pmod(F.xxhash64("doc_id", F.lit(11)), F.col("salts")))
-    return salted.select("doc_id", "size", "text_crc32", F.pmod(F.xxhash64("text_hash", F.coalesce(salt, F.lit(0))), F.lit(slots)).cast("int").alias("vslot"))
+    salt = F.when(F.col("salts").isNotNull(), F.pmod(F.xxhash64("row", F.lit(11)), F.col("salts")))
+    return salted.select("doc_id", "size", "text_crc32", F.pmod(F.xxhash64("text_hash", F.coalesce(salt, F.lit(0))), F.lit(slots)).cast("int").alias("vslot"), "row")
 
 
 def shard_documents(docs: DataFrame, shards: int, slots: int = SLOTS, folder: str | None = None) -> tuple[DataFrame, SlotMap]:
     """Place every row of ``docs`` (doc_id, text): doc_id, size, text_crc32, vslot, shard, slot; and the map used.
 
     Shards hold nearly equal bytes; slot counts the rows of a shard from 0 without gaps, in order of virtual
-    slot, doc_id and checksum. The driver holds one row per virtual slot. With ``folder`` the map is saved there.
+    slot. Rows of a slot are numbered in boxes, as many as the slot holds times the rows of an equal part, so that no
+    task numbers a large group alone. The driver holds one row per virtual slot and one per box, of which there are at
+    most twice as many. With ``folder`` the map is saved there.
 
     A null text has no bytes and size 1. Rows with a null or repeated doc_id are placed like any other. Other
     columns are not read. An empty table gives no rows and a map of all slots.
     """
+    spark = docs.sparkSession
     placed = cut(with_slots(docs, shards, slots), "slots")
     counted = {r.vslot: (r.bytes, r.rows) for r in placed.groupBy("vslot").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")).collect()}
     mapped = assign([counted.get(v, (0, 0))[0] for v in range(slots)], shards)
     if folder:
         mapped.save(folder)
+    part = max(-(-sum(n for _, n in counted.values()) // slots), 1)
+    in_boxes = F.broadcast(spark.createDataFrame([(v, -(-n // part)) for v, (_, n) in sorted(counted.items())], "vslot int, boxes int"))  # a row per slot
+    boxed = placed.join(in_boxes, "vslot").withColumn("box", F.pmod(F.xxhash64("row", F.lit(13)), F.col("boxes")).cast("int")).drop("boxes")
     at, table = [0] * shards, []
-    for v in range(slots):
-        shard = mapped.shard_of[v]
-        table.append((v, shard, at[shard]))
-        at[shard] += counted.get(v, (0, 0))[1]
-    places = F.broadcast(docs.sparkSession.createDataFrame(table, "vslot int, shard int, first long"))  # a row per slot
-    within = F.row_number().over(Window.partitionBy("vslot").orderBy("doc_id", "text_crc32", "size")) - 1
-    out = placed.withColumn("within", within).join(places, "vslot")
+    for r in boxed.groupBy("vslot", "box").count().orderBy("vslot", "box").collect():  # at most 2 * slots
+        shard = mapped.shard_of[r.vslot]
+        table.append((r.vslot, r.box, shard, at[shard]))
+        at[shard] += r["count"]
+    places = F.broadcast(spark.createDataFrame(table, "vslot int, box int, shard int, first long"))
+    within = F.row_number().over(Window.partitionBy("vslot", "box").orderBy("doc_id", "text_crc32", "size", "row")) - 1
+    out = boxed.withColumn("within", within).join(places, ["vslot", "box"])
     return out.select("doc_id", "size", "text_crc32", "vslot", "shard", (F.col("first") + F.col("within")).alias("slot")), mapped

@@ -196,6 +196,30 @@ def test_a_large_group_is_split_and_a_small_one_is_not(spark):
     assert load.max() <= 1.05 * load.mean()
 
 
+def test_placement_against_plain_python(spark):
+    """Slots' bytes, the map and each row's shard, added up and dealt one by one; a group of just under a shard stays whole."""
+    rows = [(i if i % 9 else None, "copy " * 20) for i in range(110)] + [(1000 + i, f"text number {i} " * (1 + i % 13)) for i in range(900)] + [(5, None), (5, None), (5, "")]
+    docs = spark.createDataFrame([(i, t, "a", 1, 2) for i, t in rows], "doc_id long, text string, shard string, vslot int, row int")
+    placed, mapped = slots.shard_documents(docs, 8, slots=64)
+    got = placed.collect()
+    assert sorted((r.doc_id or -1, r["size"], r.text_crc32) for r in got) == sorted((i or -1, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t in rows)
+    size_of, load, shard_of = {}, [0] * 8, {}
+    for r in got:
+        size_of[r.vslot] = size_of.get(r.vslot, 0) + r["size"]
+    for v in sorted(range(64), key=lambda v: (-size_of.get(v, 0), v)):
+        shard_of[v] = load.index(min(load))
+        load[shard_of[v]] += size_of.get(v, 0)
+    assert all(r.shard == shard_of[r.vslot] for r in got) and mapped.shard_of == tuple(shard_of[v] for v in range(64))
+    for k in range(8):
+        assert [r.slot for r in sorted((r for r in got if r.shard == k), key=lambda r: r.slot)] == list(range(sum(r.shard == k for r in got)))
+        own = sorted((r for r in got if r.shard == k), key=lambda r: r.slot)
+        assert [r.vslot for r in own] == sorted(r.vslot for r in own)
+    by_text = {}
+    for r in got:
+        by_text.setdefault((r["size"], r.text_crc32), set()).add(r.shard)
+    assert all(len(x) == 1 for x in by_text.values())
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 1000), min_size=1, max_size=60), st.lists(st.integers(0, 1000), min_size=60, max_size=60), st.integers(1, 6), st.integers(1, 7))
 def test_maps(sizes, later, shards, more):
