@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import contained, ngrams, token_set, tokenize
+from .metrics import quantiles
 from .sets import without
 from .windows import top_k
 
@@ -157,7 +158,7 @@ def clean_negatives(pairs: DataFrame, terms: DataFrame, items: DataFrame, text:
     cosine reaches that percentile of the positives'."""
     q = terms.select("term_id", token_set(F.col("query")).alias("q"))
     i = items.select("item_id", token_set(F.col(text)).alias("i"))
-    limit = pairs.filter("label = 1").agg(F.percentile("cos", F.lit(percent)).alias("limit"))
+    limit = quantiles(pairs.filter("label = 1"), "cos", [percent]).select(F.get("q", F.lit(0)).alias("limit"))
     rows = pairs.join(q, "term_id", "left").join(i, "item_id", "left").join(F.broadcast(limit))
     doubtful = (F.col("label") == 0) & (F.coalesce(contained(F.col("q"), F.col("i")), F.lit(False)) | F.coalesce(F.col("cos") >= F.col("limit"), F.lit(False)))
     return rows.filter(~doubtful).drop("q", "i", "limit")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .metrics import quantiles
+
 
 def percent_rank(group: list[str], value: str) -> Column:
     """Rank over group size, ties on average: not Spark's percent_rank, which starts at 0."""
@@ -57,7 +59,8 @@ def top_share(df: DataFrame, score: str, key: str, share: float) -> DataFrame:
     n = int(df.count() * share)
     if not n:
         return df.limit(0)
-    cut = df.agg(F.percentile(score, F.lit(1.0 - (n - 1) / max(df.count() - 1, 1))).alias("t")).first().t
+    cut = quantiles(df, score, [1.0 - (n - 1) / max(df.count() - 1, 1)]).first().q
+    cut = cut[0] if cut else None
     above = df.filter(F.col(score) > cut + 1e-12)
     ties = df.filter(F.abs(F.col(score) - cut) <= 1e-12).orderBy(key).limit(n - above.count())
     return above.unionByName(ties)

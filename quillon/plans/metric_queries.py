@@ -49,8 +49,9 @@ def blend_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def preflight(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = b.scored(spark, sf_dir).select(F.col("p"), (F.col("p") >= 0.4).cast("int").alias("now"), (F.col("p") >= 0.35).cast("int").alias("before"), (F.col("doc_id") % 17 + 1).alias("clicks"))
-    return _six(metrics.preflight(rows, "now", "before", "p", "clicks"))
+    """Scores p against an anchor that follows q, with every third document's item clicked."""
+    rows = b.scored(spark, sf_dir).select("p", ((F.col("p") + F.col("q")) >= 1.2).cast("int").alias("anchor"), (F.col("doc_id") % 3 == 0).alias("clicked"))
+    return _six(metrics.preflight(rows, "p", "anchor", "clicked"))
 
 
 def rate_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,8 +123,14 @@ SQL = {
     "blend_grid": f"""{_W}, g AS (SELECT a, b, 10 - a - b AS c FROM (SELECT unnest(range(11)) AS a) x, (SELECT unnest(range(11)) AS b) z WHERE a + b <= 10),
       d AS (SELECT a, b, c, y, round(0.0::DOUBLE + p * a / 10 + q * b / 10 + (doc_id % 10) / 10.0::DOUBLE * c / 10, 12) >= 0.45 AS d FROM g, scored), n AS (SELECT a, b, c, count(*) FILTER (d AND y = 1) AS tp, count(*) FILTER (d AND y = 0) AS fp, count(*) FILTER (NOT d AND y = 1) AS fn, count(*) FILTER (NOT d AND y = 0) AS tn FROM d GROUP BY a, b, c)
       SELECT a || '/' || b || '/' || c AS weights, round({_macro('tp', 'fp', 'fn', 'tn')}, 6) AS macro_f1 FROM n""",
-    "preflight": f"""{_W}, r AS (SELECT p, (p >= 0.4)::INT AS now, (p >= 0.35)::INT AS before, doc_id % 17 + 1 AS clicks FROM scored), c AS (SELECT avg(now) AS rate, avg((now = before)::INT) AS agreement, median(clicks) FILTER (now = 1) / median(clicks) FILTER (before = 1) AS click_ratio, avg(p) FILTER (now = 1) AS head FROM r)
-      SELECT round(rate, 6) AS rate, round(agreement, 6) AS agreement, round(click_ratio, 6) AS click_ratio, round(head, 6) AS head, rate BETWEEN 0.26 AND 0.30 AS rate_ok, agreement BETWEEN 0.80 AND 0.95 AS agreement_ok, click_ratio >= 0.6 AS click_ok, head >= 0.8 AS head_ok FROM c""",
+    "preflight": f"""{_W}, r AS (SELECT p, (p + q >= 1.2)::INT AS a, doc_id % 3 = 0 AS k FROM scored),
+      h AS (SELECT avg(a) AS head FROM r WHERE p >= (SELECT min(p) FROM (SELECT p, row_number() OVER (ORDER BY p DESC) AS pos FROM r) WHERE pos <= greatest(floor((SELECT count(*) FROM r) * 0.08), 1))),
+      e AS (SELECT quantile_cont(p, [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]) AS e, quantile_cont(p, 0.72) AS t FROM r),
+      d AS (SELECT i, avg(a) AS rate FROM (SELECT unnest(range(1, 11)) AS i), e, r WHERE p BETWEEN e[i] AND e[i + 1] GROUP BY i),
+      m AS (SELECT max(x.rate - y.rate) AS fall FROM d x JOIN d y ON y.i = x.i + 1),
+      c AS (SELECT avg((p >= t)::INT) AS rate, avg(((p >= t)::INT = a)::INT) AS agreement, median(p) FILTER (a = 1 AND k) / (median(p) FILTER (a = 1 AND NOT k) + 1e-9) AS click_ratio FROM r, e)
+      SELECT round(head, 6) AS head, coalesce(fall <= 0.03, false) AS monotone_ok, round(rate, 6) AS rate, round(agreement, 6) AS agreement, round(click_ratio, 6) AS click_ratio,
+        coalesce(head >= 0.8, false) AS head_ok, coalesce(rate BETWEEN 0.26 AND 0.30, false) AS rate_ok, coalesce(agreement BETWEEN 0.80 AND 0.95, false) AS agreement_ok, coalesce(click_ratio >= 0.6, false) AS click_ok FROM h, m, c""",
     "rate_decisions": f"{_W} SELECT doc_id, (p >= 0.5)::INT AS by_half, (p >= (SELECT quantile_cont(p, 0.7) FROM scored))::INT AS by_rate FROM scored",
     "top_contributions": f"""{_W}, r AS (SELECT doc_id, p, q, (doc_id % 10) / 10.0::DOUBLE AS r FROM scored), m AS (SELECT avg(p) AS mp, avg(q) AS mq, avg(r) AS mr FROM r),
       c AS (SELECT doc_id, 'p' AS feature, 1.5::DOUBLE * (p - mp) AS x, p AS v FROM r, m UNION ALL SELECT doc_id, 'q', -2.0::DOUBLE * (q - mq), q FROM r, m UNION ALL SELECT doc_id, 'r', 0.5::DOUBLE * (r - mr), r FROM r, m)
