@@ -229,12 +229,14 @@ def correction_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = (F.col("term_id") * 7919 + F.col("item_id") * 104729) % 1000003
     part = lambda m, n: (F.floor(k / m) % n) / float(n - 1)
     i = b.items(spark, sf_dir).withColumn("item_text", normalize(features.item_text("title", "category", "brand", "attributes")))
-    rows = b.pairs(spark, sf_dir).join(b.terms(spark, sf_dir), "term_id").join(i.select("item_id", normalize(F.col("title")).alias("title"), "item_text"), "item_id")
+    t = b.terms(spark, sf_dir)
+    asked = t.join(corrections.asked_brands(t, corrections.guard_brands(b.items(spark, sf_dir))), "term_id")
+    rows = b.pairs(spark, sf_dir).join(asked, "term_id").join(i.select("item_id", normalize(F.col("title")).alias("title"), "item_text"), "item_id")
     return rows.select(
         "term_id", "item_id", (F.col("label") == 1).alias("y"),
         part(1, 21).alias("cos"), part(21, 3).alias("recall"), (part(21, 3) == 1).alias("contain"), part(63, 6).alias("catw"), part(378, 4).alias("brandw"), part(1512, 11).alias("top1"), part(7, 26).alias("tts"),
         normalize(F.col("query")).alias("query"), "title", F.col("title").alias("title_key"), "item_text",
-        F.filter(F.split(normalize(F.col("query")), vocab.SEPARATORS), lambda w: w.startswith("brand")).alias("query_brands"),
+        "query_brands",
     )
 
 
@@ -362,7 +364,8 @@ SQL = {
     "channel_texts": f"""{_CTX}, q AS (SELECT term_id, query, {token_set('query')} AS q FROM terms), i AS (SELECT item_id, title, gender, age_group, {token_set("title || ' ' || category || ' ' || brand || ' ' || attributes")} AS i FROM items),
       h AS (SELECT term_id, item_id, len(q) AS n, {inter('q', 'i')} AS o, q, i, query, CASE WHEN regexp_matches(query, 'kadın|bayan') THEN 1 WHEN contains(query, ' erkek') THEN 2 ELSE 0 END AS qg, CASE gender WHEN 'kadın' THEN 1 WHEN 'erkek' THEN 2 WHEN 'unisex' THEN 3 ELSE CASE WHEN contains(title, 'kadın') THEN 1 WHEN contains(title, 'erkek') THEN 2 ELSE 0 END END AS ig,
         CASE WHEN contains(query, 'bebek') THEN 1 WHEN contains(query, 'çocuk') THEN 2 ELSE 0 END AS qa, age_group = 'yetişkin' AS adult FROM pairs JOIN q USING (term_id) JOIN i USING (item_id)),
-      y AS (SELECT w, list(x) AS near FROM {_SYN_ROWS} GROUP BY w), hs AS (SELECT term_id, item_id, count(*) AS hs FROM (SELECT term_id, item_id, i, unnest(q) AS w FROM h) LEFT JOIN y USING (w) WHERE list_contains(i, w) OR coalesce(len(list_intersect(near, i)) > 0, false) GROUP BY ALL)
+      y AS (SELECT w, list(x) AS near FROM {_SYN_ROWS} GROUP BY w), iw AS (SELECT DISTINCT item_id, unnest(i) AS tok FROM i), qw AS (SELECT DISTINCT term_id, w, tok FROM (SELECT term_id, unnest(q) AS w FROM q) JOIN (SELECT w, unnest(list_append(near, w)) AS tok FROM y UNION ALL SELECT DISTINCT v, v FROM (SELECT unnest(q) AS v FROM q)) USING (w)),
+      hs AS (SELECT term_id, item_id, count(DISTINCT w) AS hs FROM pairs JOIN qw USING (term_id) JOIN iw USING (item_id, tok) GROUP BY ALL)
       SELECT term_id, item_id, round(o / n, 6) AS recall, o = n AS contain, len(string_split(trim(query), ' ')) AS qlen, ((qg = 1 AND ig = 2) OR (qg = 2 AND ig = 1))::INT AS gcon, (qa > 0 AND adult)::INT AS acon, round(coalesce(hs, 0) / n, 6) AS recall_syn, (coalesce(hs, 0) = n)::INT AS contain_syn FROM h LEFT JOIN hs USING (term_id, item_id)""",
     "knn_terms": f"{_FULL} SELECT q_id, i_id, sim, rank::INT AS rank FROM knn",
     "knn_vectors": f"SELECT q_id, i_id, sim, rank::INT AS rank FROM (SELECT q.vec_id AS q_id, i.vec_id AS i_id, round({b.dot('q.embedding', 'i.embedding')}, 9) AS sim, row_number() OVER (PARTITION BY q.vec_id ORDER BY round({b.dot('q.embedding', 'i.embedding')}, 9) DESC, i.vec_id) AS rank FROM embeddings q JOIN embeddings i ON q.vec_id <> i.vec_id) WHERE rank <= 10",

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import metric_queries, pair_queries, text_queries
+from . import correction_sql, metric_queries, pair_queries, text_queries
 
 _MODULES = (text_queries, pair_queries, metric_queries)
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
-SQL = {name: sql for m in _MODULES for name, sql in m.SQL.items()}
+SQL = {name: sql for m in (*_MODULES, correction_sql) for name, sql in m.SQL.items()}
