@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import attrs, text, vocab
-from ..functions.vectors import dot
+from ..functions.vectors import dot, head
 from .popularity import brands, mentioned_brands, popularity_features
 
 EPS = 1e-6
@@ -161,13 +161,42 @@ def semantic_features(query: Column, title: Column, category: Column, short_quer
 def pair_features(pairs: DataFrame, terms: DataFrame, items: DataFrame, popularity: DataFrame, least_brand_items: int = 20) -> DataFrame:
     """term_id, item_id (and label) with the lexical, constraint and popularity features of each pair.
 
-    Pairs whose term or item is unknown are left out. With a label the pair's own click is taken out of the counts.
+    Every pair keeps its row: where the term or the item is unknown, all its features are 0. With a label the pair's
+    own click is taken out of the counts.
     """
     prepared = prepare_items(items)
-    rows = pairs.join(prepare_terms(terms, prepared, items, least_brand_items), "term_id").join(prepared, "item_id").join(popularity, "item_id")
+    rows = pairs.join(prepare_terms(terms, prepared, items, least_brand_items), "term_id", "left").join(prepared, "item_id", "left").join(popularity, "item_id", "left")
     label = F.col("label") if "label" in pairs.columns else None
     named = {**lexical_features(), **constraint_features()}
-    return rows.select(*pairs.columns, *(v.alias(k) for k, v in named.items()), *popularity_features(F.col("item_clicks"), F.col("cat_mean_log"), F.col("brand_clicks"), label))
+    known = F.col("q_wc").isNotNull() & F.col("i_words").isNotNull()
+    told = rows.select(*pairs.columns, known.alias("_known"), *(v.alias(k) for k, v in named.items()), *popularity_features(F.col("item_clicks"), F.col("cat_mean_log"), F.col("brand_clicks"), label))
+    return told.select(*(c if c in pairs.columns else F.when(F.col("_known") & F.col(c).isNotNull(), F.col(c)).otherwise(0).alias(c) for c in told.columns if c != "_known"))
+
+
+def pair_matrix(pairs: DataFrame, terms: DataFrame, items: DataFrame, popularity: DataFrame, query_vectors: DataFrame, item_vectors: DataFrame, category_vectors: DataFrame, short: int = 16, roots: DataFrame | None = None, told: DataFrame | None = None) -> DataFrame:
+    """All 51 features of each pair in one frame: those of ``pair_features`` and the six of vectors.
+
+    Vectors (term_id, vec), (item_id, vec) and (item_id, vec) of the item's category are at unit length; their first
+    ``short`` components stand for the short query's and the attributes' vectors. A pair without a vector has 0 there.
+
+    Optional columns: ``roots`` (word, root), as an analyser gives them, adds root_overlap_n, the words of query and item
+    that share a root (a word without a row is its own root); ``told`` (term_id, told_gender, told_age), what a language model read from the
+    query, adds llm_gender_conflict and llm_age_conflict with the item's labels.
+    """
+    t, i, g = query_vectors.toDF("term_id", "_q"), item_vectors.toDF("item_id", "_i"), category_vectors.toDF("item_id", "_g")
+    rows = pair_features(pairs, terms, items, popularity).join(t, "term_id", "left").join(i, "item_id", "left").join(g, "item_id", "left")
+    named = semantic_features(F.col("_q"), F.col("_i"), F.col("_g"), head(F.col("_q"), short), head(F.col("_i"), short))
+    rows = rows.select(*(c for c in rows.columns if c not in ("_q", "_i", "_g")), *(F.coalesce(v, F.lit(0.0)).alias(k) for k, v in named.items()))
+    if roots is not None:
+        rooted = lambda df, key, words: df.select(key, F.explode(words).alias("word")).join(roots, "word", "left").groupBy(key).agg(F.collect_set(F.coalesce("root", "word")).alias(f"_{key}"))
+        rows = rows.join(rooted(terms, "term_id", token_set_of("query")), "term_id", "left").join(rooted(items, "item_id", text.token_set(item_text("title", "brand", "category"))), "item_id", "left")
+        rows = rows.withColumn("root_overlap_n", F.coalesce(text.overlap(F.col("_term_id"), F.col("_item_id")), F.lit(0))).drop("_term_id", "_item_id")
+    if told is not None:
+        labels = items.select("item_id", attrs.label_of(F.col("gender"), vocab.GENDER_LABELS).alias("_gender"), attrs.label_of(F.col("age_group"), vocab.AGE_LABELS).alias("_age"))
+        rows = rows.join(told.select("term_id", "told_gender", "told_age"), "term_id", "left").join(labels, "item_id", "left")
+        rows = rows.withColumns({"llm_gender_conflict": F.coalesce(attrs.gender_contradiction(F.col("told_gender"), F.col("_gender")), F.lit(0)), "llm_age_conflict": F.coalesce(attrs.age_contradiction(F.col("told_age"), F.col("_age")), F.lit(0))})
+        rows = rows.drop("told_gender", "told_age", "_gender", "_age")
+    return rows
 
 
 def channel_texts(pairs: DataFrame, terms: DataFrame, items: DataFrame, synonyms: DataFrame | None = None) -> DataFrame:

@@ -33,3 +33,23 @@ def left_score(df: DataFrame, scores: DataFrame, keys: list[str], score: str, fi
     """``df`` with a score by key; one row per key counts, that of the lowest score; a missing one is ``fill``."""
     one = scores.groupBy(*keys).agg(F.min(score).alias(score))
     return df.drop(score).join(one, keys, "left").withColumn(score, F.coalesce(score, F.lit(fill)))
+
+
+def update_by_key(df: DataFrame, changes: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """``df`` with the given columns taken from ``changes`` (keys and columns) where it has the row's keys, nulls included.
+
+    Each key stands once in ``changes``; keys that ``df`` does not have add nothing.
+    """
+    new = changes.select(*keys, *(F.col(c).alias(f"_new_{c}") for c in columns), F.lit(True).alias("_has"))
+    met = df.join(new, keys, "left")
+    return met.select(*(F.when(F.col("_has"), F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c) if c in columns else F.col(c) for c in df.columns))
+
+
+def without_columns(df: DataFrame, *columns: str) -> DataFrame:
+    """``df`` without the columns; those it does not have are passed over."""
+    return df.drop(*columns)
+
+
+def as_member(df: DataFrame, keys: list[str], score: str, member: str) -> DataFrame:
+    """keys and one score under the name that an ensemble knows its member by."""
+    return df.select(*keys, F.col(score).cast("double").alias(member))

@@ -31,6 +31,10 @@ def rate_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _six(metrics.rate_threshold(b.scored(spark, sf_dir), "p", 0.3))
 
 
+def density_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _six(metrics.density_threshold(b.scored(spark, sf_dir), "p", 0.18))
+
+
 def quantile_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _six(metrics.quantile_grid(b.scored(spark, sf_dir), "p").select(F.round("threshold", 6).alias("threshold")).distinct())
 
@@ -98,7 +102,7 @@ def ensemble_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return model.out_of_fold(rows.select("term_id", "item_id", "label", "fold", *names), names, "label", "fold", "p", folds=2, depth=3, rounds=5).select("term_id", "item_id", "label", F.round("p", 6).alias("p"))
 
 
-QUERIES = {f.__name__: f for f in (macro_f1, threshold_scan, best_threshold, rate_threshold, quantile_grid, decile_rates, auc_rank_sum, blend_grid, preflight, rate_decisions, top_contributions, rates_by_source, reciprocal_rank, click_distribution, balanced_folds, ensemble_scores)}
+QUERIES = {f.__name__: f for f in (macro_f1, threshold_scan, best_threshold, rate_threshold, density_threshold, quantile_grid, decile_rates, auc_rank_sum, blend_grid, preflight, rate_decisions, top_contributions, rates_by_source, reciprocal_rank, click_distribution, balanced_folds, ensemble_scores)}
 
 _F1 = "CASE WHEN 2 * {0} + {1} + {2} > 0 THEN 2 * {0} / (2 * {0} + {1} + {2})::DOUBLE ELSE 0 END"
 
@@ -116,6 +120,7 @@ SQL = {
     "threshold_scan": f"{_SCAN} SELECT threshold, round(macro_f1, 6) AS macro_f1 FROM s",
     "best_threshold": f"{_SCAN} SELECT threshold, round(macro_f1, 6) AS macro_f1 FROM s ORDER BY round(macro_f1, 12) DESC, threshold DESC LIMIT 1",
     "rate_threshold": f"{_W} SELECT round(quantile_cont(p, 0.7), 6) AS threshold FROM scored",
+    "density_threshold": f"{_W} SELECT round(min(p), 6) AS threshold FROM (SELECT p, row_number() OVER (ORDER BY p DESC) AS pos FROM scored) WHERE pos <= greatest(floor((SELECT count(*) FROM scored) * 0.18), 1)",
     "quantile_grid": f"{_W} SELECT DISTINCT round(x, 6) AS threshold FROM (SELECT unnest(quantile_cont(p, [{_GRID}])) AS x FROM scored)",
     "decile_rates": f"""{_W}, e AS (SELECT quantile_cont(p, [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]) AS e FROM scored), d AS (SELECT unnest(range(1, 11))::INT AS decile)
       SELECT decile, count(*) AS n, round(avg(y), 6) AS rate FROM d, e, scored WHERE p BETWEEN e[decile] AND e[decile + 1] GROUP BY decile""",

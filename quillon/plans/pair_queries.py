@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import vocab
 from ..functions.text import normalize, squeeze
 from ..functions.vectors import dot, head, unit
-from ..operators import corrections, enrich, features, graph, knn, mining, popularity, sets, windows
+from ..operators import corrections, enrich, features, graph, knn, mining, popularity, rules, sets, windows
 from . import bindings as b
 from .bindings import BASE, inter, knn_sql, norm, table, tok, token_set, uniq_tok
 from .text_queries import _intent, _list, _sizes, _stem, _synonyms
@@ -48,8 +50,22 @@ def features_popularity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def feature_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All 51 features of every pair."""
     i, c = b.items(spark, sf_dir), b.clicks(spark, sf_dir)
-    return features.pair_features(b.pairs(spark, sf_dir), b.terms(spark, sf_dir), i, popularity.popularity(i, c))
+    g = i.select("item_id", F.col("size").alias("vec_id")).join(table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vec")), "vec_id").select("item_id", "vec")
+    made = features.pair_matrix(b.pairs(spark, sf_dir), b.terms(spark, sf_dir), i, popularity.popularity(i, c), b.term_vectors(spark, sf_dir), b.item_vectors(spark, sf_dir), g)
+    return _rounded(made)
+
+
+def channels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The channel frame of every pair, with a cross-encoder's raw scores by arithmetic."""
+    k = F.col("item_id")
+    category = F.split("category", "/")
+    i = b.items(spark, sf_dir).withColumns({"l1": F.get(category, F.lit(0)), "l2": F.array_join(F.slice(category, 1, 2), "/"), "color": b.pick(b.COLORS, k), "material": b.pick(b.MATERIALS, k)})
+    syn = spark.createDataFrame([("ring", "gear"), ("red", "hot"), ("kadın", "erkek")], "tok_a string, tok_b string")
+    p = b.pairs(spark, sf_dir)
+    raw = p.select("term_id", "item_id", ((F.col("term_id") * 3 + k) % 9 - 4.0).alias("score"))
+    return _rounded(graph.channels(p, b.terms(spark, sf_dir), i, b.clicks(spark, sf_dir), _neighbours(spark, sf_dir), b.term_vectors(spark, sf_dir), b.item_vectors(spark, sf_dir), syn, raw), 5)
 
 
 def item_popularity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -252,6 +268,19 @@ def correction_chain_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corrections.correct(rows, with_models=True).select("term_id", "item_id", F.col("y").cast("int").alias("y"), "changed_by")
 
 
+def hard_override(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every pair's decision, turned down where the query and the item are for different people."""
+    told = {k: v for k, v in features.constraint_features().items() if k in rules.HARD or k == "brand_contradiction"}
+    rows = _prepared(spark, sf_dir).select("term_id", "item_id", F.col("label").alias("prediction"), *(v.alias(k) for k, v in told.items()))
+    return rules.hard_override(rows, "prediction").select("term_id", "item_id", "prediction")
+
+
+def updated_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every pair's label, with those of some items taken from a second table, nulls included."""
+    changes = b.pairs(spark, sf_dir).filter("item_id % 4 = 1").select("term_id", "item_id", F.when(F.col("term_id") % 3 > 0, 1 - F.col("label")).alias("label"))
+    return sets.update_by_key(b.pairs(spark, sf_dir), changes, ["term_id", "item_id"], ["label"])
+
+
 def left_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = b.pairs(spark, sf_dir).filter("item_id % 3 = 0").select("term_id", "item_id", (F.col("item_id") % 10 / 10.0).alias("score"))
     return sets.left_score(b.pairs(spark, sf_dir).select("term_id", "item_id"), s, ["term_id", "item_id"], "score")
@@ -261,7 +290,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         features_lexical, features_constraints, features_semantic, features_popularity, feature_matrix, item_popularity, fold_popularity, token_frequency, group_features,
-        top_per_group, least_positives, top_share, channel_texts, knn_terms, knn_vectors, vector_functions, neighbour_shares, term_stats, graph_histograms, graph_entropy,
+        top_per_group, least_positives, top_share, channel_texts, channels, hard_override, updated_labels, knn_terms, knn_vectors, vector_functions, neighbour_shares, term_stats, graph_histograms, graph_entropy,
         cf_similarity, cf_two_hop, item_clickers, item_votes, title_transfer, negative_quota, lexical_candidates, category_siblings, guided_candidates, popularity_draw,
         mined_negatives, clean_negatives, synonym_pairs, widened_queries, items_with_queries, hard_negatives, correction_chain, correction_chain_full, left_scores,
     )
@@ -414,3 +443,31 @@ SQL = {
     "hard_negatives": f"""{_CTX} SELECT * FROM (SELECT term_id, item_id, ((term_id * 31 + item_id * 17) % 1000) / 1000.0::DOUBLE AS score, row_number() OVER (PARTITION BY term_id ORDER BY (term_id * 31 + item_id * 17) % 1000 DESC, item_id)::INT AS rank FROM pairs WHERE label = 0 AND (term_id * 31 + item_id * 17) % 1000 >= 500) WHERE rank <= 5""",
     "left_scores": f"{_CTX} SELECT term_id, item_id, CASE WHEN item_id % 3 = 0 THEN (item_id % 10) / 10.0::DOUBLE ELSE 0.5::DOUBLE END AS score FROM pairs",
 }
+
+#: Frames of several queries side by side: each pair keeps its row, 0 where a part says nothing of it.
+_FILLED = "SELECT term_id, item_id{label}, coalesce(COLUMNS(* EXCLUDE (term_id, item_id{label})), 0) AS '\\0' FROM joined"
+
+
+def _joined(parts: list[tuple[str, str]], label: str = "") -> str:
+    sides = " ".join(f"LEFT JOIN ({sql}) USING ({keys})" for keys, sql in parts)
+    return f"WITH {b.CLICKS}, {b.PAIRS}, joined AS (SELECT * FROM (SELECT term_id, item_id{label} FROM pairs) {sides}) {_FILLED.format(label=label)}"
+
+
+_PAIR = "term_id, item_id"
+SQL["feature_matrix"] = _joined([(_PAIR, SQL[k]) for k in ("features_lexical", "features_constraints", "features_popularity", "features_semantic")], ", label")
+_DIMS = {"catw_l1": ("l1", "split_part(category, '/', 1)"), "catw_l2": ("l2", "split_part(category, '/', 1) || CASE WHEN contains(category, '/') THEN '/' || split_part(category, '/', 2) ELSE '' END"), "color_prior": ("color", "color"), "material_prior": ("material", "material"), "gender_prior": ("gender", "gender")}
+_VALUES = " UNION ALL ".join(f"SELECT item_id, '{d}' AS dim, {e} AS value FROM items" for d, e in _DIMS.values())
+_PRIORS = f"""{_FULL}, {_W}, vals AS ({_VALUES}), cells AS (SELECT term_id, item_id, w FROM w JOIN (SELECT term_id AS nb, item_id FROM clicks) USING (nb)),
+  sums AS (SELECT term_id, dim, value, sum(w) AS s FROM cells JOIN vals USING (item_id) WHERE value <> '' GROUP BY ALL), tot AS (SELECT term_id, CASE WHEN sum(w) > 0 THEN sum(w) ELSE 1 END AS total FROM cells GROUP BY term_id)
+  SELECT term_id, item_id, {", ".join(f"round(max(s / total) FILTER (dim = '{d}'), 5) AS {name}" for name, (d, _) in _DIMS.items())} FROM pairs JOIN vals USING (item_id) JOIN sums USING (term_id, dim, value) JOIN tot USING (term_id) GROUP BY ALL"""
+_HOPS = SQL["cf_two_hop"].rsplit("SELECT term_id, item_id FROM", 1)
+_CF2 = f"""{_HOPS[0]}, held AS (SELECT term_id, item_id FROM{_HOPS[1]}) SELECT p.term_id, p.item_id, round(max({b.dot('a.vec', 'h.vec')}), 5) AS cf2 FROM pairs p JOIN item_vectors a USING (item_id) JOIN held ON held.term_id = p.term_id JOIN item_vectors h ON h.item_id = held.item_id GROUP BY ALL"""
+_FIVE = lambda k: re.sub(r", 6\)", ", 5)", SQL[k])  # noqa: E731  the frame is compared to five digits
+_UNIT = lambda v: f"sqrt(list_inner_product({v}::DOUBLE[], {v}::DOUBLE[])) + 1e-9"
+SQL["channels"] = _joined([
+    (_PAIR, f"{BASE} SELECT term_id, item_id, round({b.dot('q.vec', 'i.vec')} / ({_UNIT('q.vec')}) / ({_UNIT('i.vec')}), 5) AS cos, round(1 / (1 + exp(-((term_id * 3 + item_id) % 9 - 4.0::DOUBLE))), 5) AS ce_score FROM pairs LEFT JOIN term_vectors q USING (term_id) LEFT JOIN item_vectors i USING (item_id)"),
+    (_PAIR, f"SELECT * REPLACE (contain::INT AS contain) FROM ({_FIVE('channel_texts')})"),
+    (_PAIR, _FIVE("neighbour_shares")), ("term_id", _FIVE("term_stats")), ("term_id", _FIVE("graph_entropy")), (_PAIR, _PRIORS), (_PAIR, _FIVE("cf_similarity")), (_PAIR, _CF2), (_PAIR, _FIVE("item_clickers")),
+])
+SQL["hard_override"] = f"WITH {b.CLICKS}, {b.PAIRS} SELECT term_id, item_id, CASE WHEN gender_contradiction = 1 OR age_contradiction = 1 THEN 0 ELSE label END AS prediction FROM pairs JOIN ({SQL['features_constraints']}) USING (term_id, item_id)"
+SQL["updated_labels"] = f"WITH {b.CLICKS}, {b.PAIRS} SELECT term_id, item_id, CASE WHEN item_id % 4 = 1 THEN CASE WHEN term_id % 3 > 0 THEN 1 - label END ELSE label END AS label FROM pairs"

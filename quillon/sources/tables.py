@@ -5,6 +5,9 @@ Paths are Hadoop paths: existence and renames go through Spark's own file system
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 import json
 from collections.abc import Iterable
 
@@ -132,3 +135,26 @@ def whole_groups(df: DataFrame, group: str, share: float, seed: int = 42) -> Dat
 def some_rows(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     """n rows drawn by a hash of the key."""
     return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+
+
+_own_folder: list[str] = []
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once to the folder that the cluster shares (``spark.checkpoint.dir``) and read back, for what
+    several parts of a plan read: none of them computes it again, and lost executors cost no more than a read.
+
+    A local session without that setting uses a temporary folder; on a cluster it must be set.
+    """
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not folder:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if not _own_folder:
+            _own_folder.append("file://" + tempfile.mkdtemp(prefix="quillon-tables-"))
+        folder = _own_folder[0]
+    path = f"{folder.rstrip('/')}/quillon-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -236,3 +236,29 @@ def test_contributions_and_search(spark):
     found = model.search_member(rows, ["a"], "y", "g", [{"depth": 1, "rounds": 1}, {"depth": 2, "rounds": 2}])
     assert [f for f, _ in found] == sorted((f for f, _ in found), reverse=True) and found[0][0] == 1.0
     assert metrics.decide_at_rate(rows, "a", 0.3).agg({"prediction": "avg"}).first()[0] >= 0.28
+
+
+def test_override_update_and_folds_by_hand(spark):
+    from quillon.operators import metrics, model, rules, sets
+
+    df = spark.createDataFrame([(1, 0.99, 1, 0, 0), (2, 0.99, 0, 1, 0), (3, 0.99, 0, 0, 1), (4, 0.5, None, None, 1)], "id int, p double, gender_contradiction int, age_contradiction int, brand_contradiction int")
+    assert {r.id: r.p for r in rules.hard_override(df, "p").collect()} == {1: 0.0, 2: 0.0, 3: 0.99, 4: 0.5}
+    changes = spark.createDataFrame([(1, 0.1), (2, None), (9, 0.3)], "id int, p double")
+    assert {r.id: r.p for r in sets.update_by_key(df, changes, ["id"], ["p"]).collect()} == {1: 0.1, 2: None, 3: 0.99, 4: 0.5}
+    assert sets.without_columns(df, "p", "nothing").columns == ["id", "gender_contradiction", "age_contradiction", "brand_contradiction"]
+    assert sets.as_member(df, ["id"], "p", "lgb").columns == ["id", "lgb"]
+    sizes = [7, 7, 7, 5, 4, 4, 3, 1, 1, 1, 1]
+    rows = spark.createDataFrame([(g,) for g, n in enumerate(sizes) for _ in range(n)], "g int")
+    got = {r.g: r.fold for r in model.balanced_folds(rows, "g", 3).collect()}
+    load, dealt = [0, 0, 0], {}
+    for n in sizes:
+        fold = load.index(min(load))
+        dealt[n, fold] = dealt.get((n, fold), 0) + 1
+        load[fold] += n
+    assert {(n, f): sum(1 for g, x in got.items() if sizes[g] == n and x == f) for n, f in dealt} == dealt and len(got) == len(sizes)
+    assert model.balanced_folds(rows.limit(0), "g").count() == 0
+    scored = spark.createDataFrame([(x / 10,) for x in (1, 2, 2, 3, 5, 8, 8, 8, 9, 10)], "p double")
+    assert [metrics.density_threshold(scored, "p", r).first().threshold for r in (0.01, 0.2, 0.3, 1.0)] == [1.0, 0.9, 0.8, 0.1]
+    assert metrics.quantiles(scored, "p", [0.0, 0.25, 0.5, 1.0]).first().q == [0.1, 0.225, 0.65, 1.0]
+    none = metrics.preflight(spark.createDataFrame([], "p double, a int, k boolean"), "p", "a", "k").first()
+    assert none.head is None and not none.head_ok and not none.click_ok
