@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import contained, ngrams, token_set, tokenize
+from ..sources.tables import written
 from .metrics import quantiles
 from .sets import without
 from .windows import top_k
@@ -137,8 +138,8 @@ def catalog_draws(quota: DataFrame, items: DataFrame, clicks: DataFrame, positiv
 def choose(sources: list[tuple[str, DataFrame]], quota: DataFrame, positives: DataFrame) -> DataFrame:
     """term_id, item_id, neg_source: each source fills its column of the quota with what no earlier one took.
 
-    Sources follow one another; each step is an anti join and a ranking of what is left. What sources fail to
-    fill goes to the last one.
+    Sources follow one another; each step is an anti join and a ranking of what is left, and is written once, so that
+    no later step repeats it. What sources fail to fill goes to the last one.
     """
     taken, last = None, sources[-1][0]
     for name, candidates in sources:
@@ -149,6 +150,7 @@ def choose(sources: list[tuple[str, DataFrame]], quota: DataFrame, positives: Da
             had = taken.groupBy("term_id").agg(F.count("*").alias("had"))
             room = room.join(had, "term_id", "left").select("term_id", (F.col("quota") - F.coalesce("had", F.lit(0))).alias("room"), "quota")
         picked = top_k(left.join(room, "term_id"), ["term_id"], [F.col("order"), F.col("item_id")], F.col("room")).select("term_id", "item_id", F.lit(name).alias("neg_source"))
+        picked = written(picked, name)
         taken = picked if taken is None else taken.unionByName(picked)
     return taken
 
