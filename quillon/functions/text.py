@@ -166,17 +166,21 @@ def numbers(s: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(s, F.lit(r"\d+"), F.lit(0)))
 
 
+def one_line(s: Column) -> Column:
+    return F.trim(F.translate(F.coalesce(s, F.lit("")), "\n", " "))
+
+
 def clip(s: Column, n: int) -> Column:
     """The first n characters of a one-line text."""
-    return F.substring(F.trim(F.translate(F.coalesce(s, F.lit("")), "\n", " ")), 1, n)
+    return F.substring(one_line(s), 1, n)
 
 
 def labelled_text(parts: dict[str, Column], empty: Strings = ("unknown",), limit: int = 200) -> Column:
-    """``label: value`` segments between bars; empty values and those of ``empty`` are left out."""
+    """``label: value`` segments between bars; empty values and those of ``empty``, taken whole, are left out."""
     segments = []
     for label, value in parts.items():
-        v = clip(value, limit)
-        segments.append(F.when((v != "") & ~v.isin(*empty), F.concat(F.lit(f"{label}: ") if label else F.lit(""), v)))
+        whole, v = one_line(value), clip(value, limit)
+        segments.append(F.when((v != "") & ~whole.isin(*empty), F.concat(F.lit(f"{label}: ") if label else F.lit(""), v)))
     return F.concat_ws(" | ", *segments)
 
 

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from ..functions import vocab
 from ..functions.text import normalize, squeeze
 from ..functions.vectors import dot, head, unit
-from ..operators import corrections, enrich, features, graph, knn, mining, popularity, rules, sets, windows
+from ..operators import corrections, enrich, features, graph, knn, mining, model, popularity, rules, sets, windows
+from ..sources.tables import written
 from . import bindings as b
 from .bindings import BASE, inter, knn_sql, norm, table, tok, token_set, uniq_tok
 from .text_queries import _intent, _list, _sizes, _stem, _synonyms
@@ -179,7 +180,7 @@ def negative_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def lexical_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = b.items(spark, sf_dir).withColumn("text", features.item_text("title", "brand", "category"))
-    return mining.lexical_candidates(b.terms(spark, sf_dir), i, "text", per_token=20)
+    return mining.lexical_candidates(b.terms(spark, sf_dir), i, "text")
 
 
 def category_siblings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -232,12 +233,12 @@ def widened_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def items_with_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return enrich.items_with_queries(b.items(spark, sf_dir), b.terms(spark, sf_dir), b.clicks(spark, sf_dir), clip=30)
+    return enrich.items_with_queries(b.items(spark, sf_dir), b.terms(spark, sf_dir), b.clicks(spark, sf_dir))
 
 
 def hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = b.pairs(spark, sf_dir).select("term_id", "item_id", F.col("label").alias("is_positive"), ((F.col("term_id") * 31 + F.col("item_id") * 17) % 1000 / 1000.0).alias("score"))
-    return mining.hard_negatives(p, 0.5, 5).select("term_id", "item_id", "score", "rank")
+    return mining.hard_negatives(p).select("term_id", "item_id", "score", "rank")
 
 
 def correction_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -268,6 +269,17 @@ def correction_chain_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corrections.correct(rows, with_models=True).select("term_id", "item_id", F.col("y").cast("int").alias("y"), "changed_by")
 
 
+def correction_chain_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the channel frame, with a corrector fitted on every pair's label and a model of the corrected ones."""
+    made = channels(spark, sf_dir).join(title_transfer(spark, sf_dir).select("term_id", "item_id", "tts"), ["term_id", "item_id"])
+    named = [k for k in made.columns if k not in ("term_id", "item_id", "tts")]
+    texts = correction_rows(spark, sf_dir).select("term_id", "item_id", "y", "query", "title", "title_key", "item_text", "query_brands")
+    rows = written(texts.join(made, ["term_id", "item_id"]), "channels")
+    corrector, _ = model.fit_corrector(rows.withColumn("label", F.col("y").cast("int")), named, "label", "term_id")
+    got = corrections.correct_by_models(rows.withColumn("contain", F.col("contain") == 1), corrector, named)
+    return got.select("term_id", "item_id", F.col("y").cast("int").alias("y"), "changed_by")
+
+
 def hard_override(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every pair's decision, turned down where the query and the item are for different people."""
     told = {k: v for k, v in features.constraint_features().items() if k in rules.HARD or k == "brand_contradiction"}
@@ -292,7 +304,7 @@ QUERIES = {
         features_lexical, features_constraints, features_semantic, features_popularity, feature_matrix, item_popularity, fold_popularity, token_frequency, group_features,
         top_per_group, least_positives, top_share, channel_texts, channels, hard_override, updated_labels, knn_terms, knn_vectors, vector_functions, neighbour_shares, term_stats, graph_histograms, graph_entropy,
         cf_similarity, cf_two_hop, item_clickers, item_votes, title_transfer, negative_quota, lexical_candidates, category_siblings, guided_candidates, popularity_draw,
-        mined_negatives, clean_negatives, synonym_pairs, widened_queries, items_with_queries, hard_negatives, correction_chain, correction_chain_full, left_scores,
+        mined_negatives, clean_negatives, synonym_pairs, widened_queries, items_with_queries, hard_negatives, correction_chain, correction_chain_full, correction_chain_models, left_scores,
     )
 }
 
@@ -419,7 +431,7 @@ SQL = {
     "negative_quota": """WITH clicks AS (SELECT DISTINCT o_custkey AS term_id, l_partkey AS item_id FROM lineitem JOIN orders ON l_orderkey = o_orderkey), n AS (SELECT term_id, count(*) AS n_pos, least(greatest(count(*) * 6, 20), 150)::INT AS quota FROM clicks GROUP BY term_id),
       g AS (SELECT *, CASE WHEN n_pos <= 2 THEN round_even(quota * 0.15::DOUBLE, 0) ELSE 0 END::INT AS llm_guided FROM n), s AS (SELECT *, round_even((quota - llm_guided) * 0.35::DOUBLE, 0)::INT AS dense_ann, round_even((quota - llm_guided) * 0.25::DOUBLE, 0)::INT AS lexical, round_even((quota - llm_guided) * 0.2::DOUBLE, 0)::INT AS category_sibling FROM g)
       SELECT *, quota - llm_guided - dense_ann - lexical - category_sibling AS popularity_random FROM s""",
-    "lexical_candidates": f"""{_CTX}, posts AS (SELECT item_id, unnest({uniq_tok(_ITEM_TEXT)}) AS token FROM items), d AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY token ORDER BY {_draw(42, 'item_id')}, item_id) AS pos FROM posts) WHERE pos <= 20),
+    "lexical_candidates": f"""{_CTX}, posts AS (SELECT item_id, unnest({uniq_tok(_ITEM_TEXT)}) AS token FROM items), d AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY token ORDER BY {_draw(42, 'item_id')}, item_id) AS pos FROM posts) WHERE pos <= 400),
       f AS (SELECT DISTINCT term_id, item_id FROM (SELECT term_id, unnest({uniq_tok('query')}) AS token FROM terms) JOIN d USING (token)) SELECT term_id, item_id, {_draw(43, 'term_id', 'item_id')} AS "order" FROM f""",
     "category_siblings": f"""{_CTX}, d AS (SELECT * FROM (SELECT category, item_id, row_number() OVER (PARTITION BY category ORDER BY {_draw(42, 'item_id')}, item_id) AS pos FROM items) WHERE pos <= 4), f AS (SELECT DISTINCT term_id, d.item_id FROM (SELECT DISTINCT term_id, category FROM clicks JOIN items USING (item_id)) JOIN d USING (category))
       SELECT term_id, item_id, {_draw(44, 'term_id', 'item_id')} AS "order" FROM f ANTI JOIN clicks USING (term_id, item_id)""",
@@ -439,8 +451,8 @@ SQL = {
     "items_with_queries": f"""{_CTX}, t AS (SELECT *, trim(regexp_replace({b.norm('title')}, '\\s+', ' ', 'g')) AS tk FROM items),
       a AS (SELECT tk, {b.norm('query')} AS asked, row_number() OVER (PARTITION BY tk ORDER BY term_id, item_id) AS pos FROM clicks JOIN t USING (item_id) JOIN terms USING (term_id)),
       f AS (SELECT tk, string_agg(asked, ' ; ' ORDER BY pos) AS queries FROM a WHERE pos <= 3 GROUP BY tk)
-      SELECT item_id, concat_ws(' | ', {b.norm('title')}, {b.norm('category')}, {b.norm('brand')}, {b.norm('gender')}, left({b.norm('attributes')}, 30), 'aranan: ' || queries) AS text FROM t LEFT JOIN f USING (tk)""",
-    "hard_negatives": f"""{_CTX} SELECT * FROM (SELECT term_id, item_id, ((term_id * 31 + item_id * 17) % 1000) / 1000.0::DOUBLE AS score, row_number() OVER (PARTITION BY term_id ORDER BY (term_id * 31 + item_id * 17) % 1000 DESC, item_id)::INT AS rank FROM pairs WHERE label = 0 AND (term_id * 31 + item_id * 17) % 1000 >= 500) WHERE rank <= 5""",
+      SELECT item_id, concat_ws(' | ', {b.norm('title')}, {b.norm('category')}, {b.norm('brand')}, {b.norm('gender')}, left({b.norm('attributes')}, 180), 'aranan: ' || queries) AS text FROM t LEFT JOIN f USING (tk)""",
+    "hard_negatives": f"""{_CTX} SELECT * FROM (SELECT term_id, item_id, ((term_id * 31 + item_id * 17) % 1000) / 1000.0::DOUBLE AS score, row_number() OVER (PARTITION BY term_id ORDER BY (term_id * 31 + item_id * 17) % 1000 DESC, item_id)::INT AS rank FROM pairs WHERE label = 0 AND (term_id * 31 + item_id * 17) % 1000 >= 500) WHERE rank <= 30""",
     "left_scores": f"{_CTX} SELECT term_id, item_id, CASE WHEN item_id % 3 = 0 THEN (item_id % 10) / 10.0::DOUBLE ELSE 0.5::DOUBLE END AS score FROM pairs",
 }
 

@@ -68,7 +68,7 @@ def json_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def labelled_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = text.labelled_text({"": F.col("title"), "brand": F.col("brand"), "gender": F.col("gender")}, limit=20)
+    made = text.labelled_text({"": F.col("title"), "brand": F.col("brand"), "gender": F.col("gender")})
     return b.items(spark, sf_dir).select("item_id", made.alias("text"), F.length(F.coalesce("title", F.lit(""))).alias("n"))
 
 
@@ -260,7 +260,7 @@ SQL = {
       SELECT item_id, len(x) AS n_levels, array_to_string(x, ' > ') AS path, x[-1] AS last FROM l""",
     "url_levels": "SELECT page_id, len(list_filter(string_split(regexp_replace(url, '^[a-z]+://', ''), '/'), lambda x: trim(x) <> '')) AS n_levels, length(trim(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g'))) AS n_chars FROM pages",
     "json_extract": "SELECT event_id, (props->>'k')::BIGINT AS k, NULL::BIGINT AS none FROM events",
-    "labelled_texts": f"{_CTX} SELECT item_id, concat_ws(' | ', left(trim(title), 20), 'brand: ' || brand, CASE WHEN gender <> 'unknown' THEN 'gender: ' || gender END) AS text, length(title) AS n FROM items",
+    "labelled_texts": f"{_CTX} SELECT item_id, concat_ws(' | ', left(trim(title), 200), 'brand: ' || brand, CASE WHEN gender <> 'unknown' THEN 'gender: ' || gender END) AS text, length(title) AS n FROM items",
     "attribute_constraints": f"{_CTX} SELECT item_id, color AS colors, material AS materials, pattern AS patterns, color AS first_color, {_join(_sizes('title'))} AS sizes FROM items",
     "query_constraints": f"""{_CTX}, q AS (SELECT term_id, query, {tok('query')} AS t FROM terms),
       c AS (SELECT *, CASE WHEN {' OR '.join(f"contains(query, '{p}')" for p in vocab.COLOR_COLLOCATIONS)} THEN [] ELSE list_intersect(t, {_list(vocab.COLORS)}) END AS colors FROM q),

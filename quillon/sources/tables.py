@@ -137,6 +137,12 @@ def some_rows(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
 
 
+def share_of_rows(df: DataFrame, keys: list[str], most: int, seed: int = 42) -> DataFrame:
+    """About ``most`` rows by a hash of their keys, or all where there are no more; no rows are sorted or moved."""
+    n = df.count()
+    return df if n <= most else df.filter(F.pmod(F.xxhash64(*keys, F.lit(seed)), F.lit(1_000_000_000)) < int(most / n * 1_000_000_000))
+
+
 _own_folder: list[str] = []
 
 

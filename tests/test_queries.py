@@ -34,7 +34,7 @@ def test_against_sql(spark, duck, sf, name):
 
 
 def test_all_are_covered():
-    assert set(registry.QUERIES) - set(registry.SQL) == {"expanded_match", "typo_correction", "mined_negatives", "balanced_folds", "ensemble_scores"}
+    assert set(registry.QUERIES) - set(registry.SQL) == {"expanded_match", "typo_correction", "mined_negatives", "balanced_folds", "ensemble_scores", "correction_chain_models"}
 
 
 def test_mined_negatives(spark, sf):

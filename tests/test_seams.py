@@ -88,3 +88,21 @@ def test_priors_by_hand(spark):
     hist = spark.createDataFrame([(1, "color", "red", 0.7), (1, "color", "blue", 0.3), (1, "l1", "b", 0.2)], "term_id long, dim string, value string, p double")
     got = {(p.term_id, p.item_id): (p.c, p.l) for p in graph.value_priors(pairs, hist, items, {"c": "color", "l": "l1"}).collect()}
     assert got == {(1, 10): (0.7, 0.0), (1, 11): (0.0, 0.2), (2, 10): (0.0, 0.0)}
+
+
+def test_small_limits_of_texts_and_draws(spark):
+    from quillon.functions import text
+    from quillon.operators import enrich, mining
+
+    one = spark.createDataFrame([(1, "  ab\ncdef  ", "unknown"), (2, None, "x" * 300), (3, "", None)], "k int, a string, b string")
+    made = one.select("k", text.labelled_text({"": F.col("a"), "b": F.col("b")}, limit=4).alias("t"), text.labelled_text({"b": F.col("b")}).alias("u"))
+    assert {r.k: (r.t, len(r.u)) for r in made.collect()} == {1: ("ab c", 0), 2: ("b: xxxx", 203), 3: ("", 0)}
+
+    items = spark.createDataFrame([(i, "red ring", "c", "b", "g", "y" * 9) for i in range(1, 8)], "item_id long, title string, category string, brand string, gender string, attributes string")
+    terms = spark.createDataFrame([(1, "red ring"), (2, "blue")], "term_id long, query string")
+    got = mining.lexical_candidates(terms, items, "title", per_token=2).collect()
+    assert {r.term_id for r in got} == {1} and len(got) == 2  # both words draw the same items
+    short = enrich.items_with_queries(items, terms, spark.createDataFrame([(1, 1)], "term_id long, item_id long"), clip=3).filter("item_id = 1").first().text
+    assert short == "red ring | c | b | g | yyy | aranan: red ring"
+    scored = spark.createDataFrame([(1, i, i / 10.0, 0) for i in range(1, 10)], "term_id long, item_id long, score double, is_positive int")
+    assert sorted(r.item_id for r in mining.hard_negatives(scored, 0.5, 3).collect()) == [7, 8, 9]
