@@ -87,3 +87,11 @@ def test_correction_chains_share_their_first_stages(spark, sf):
     late = {"T6a", "T6b", "T8", "T9"}
     assert all(full[k].changed_by in late or (full[k].y, full[k].changed_by) == (short[k].y, short[k].changed_by) for k in short)
     assert {r.changed_by for r in full.values()} & late
+
+
+def test_correction_by_models(spark, sf):
+    from quillon.plans import bindings as b
+
+    got = registry.QUERIES["correction_chain_models"](spark, sf).collect()
+    assert sorted((r.term_id, r.item_id) for r in got) == sorted((r.term_id, r.item_id) for r in b.pairs(spark, sf).collect())
+    assert {r.changed_by for r in got} <= {None, "T1", "T2a", "T2b", "T3a", "T3b", "T4a", "T4b", "T4c", "T4d", "T6a", "T6b", "T8", "T9"} and len({r.changed_by for r in got}) > 2

@@ -106,3 +106,29 @@ def test_small_limits_of_texts_and_draws(spark):
     assert short == "red ring | c | b | g | yyy | aranan: red ring"
     scored = spark.createDataFrame([(1, i, i / 10.0, 0) for i in range(1, 10)], "term_id long, item_id long, score double, is_positive int")
     assert sorted(r.item_id for r in mining.hard_negatives(scored, 0.5, 3).collect()) == [7, 8, 9]
+
+
+def test_corrector_and_distilled_labels(spark):
+    from quillon.operators import corrections
+
+    rows = [(t, i, (t * 7 + i) % 2 == 0) for t in range(60) for i in range(20)]
+    df = spark.createDataFrame(rows, "term_id long, item_id long, truth boolean")
+    noisy = (F.col("term_id") * 20 + F.col("item_id")) % 97 == 5
+    df = df.withColumn("y", F.when(noisy, ~F.col("truth")).otherwise(F.col("truth"))).withColumn("label", F.col("truth").cast("int"))
+    df = df.withColumn("cos", F.when(F.col("truth"), 0.7).otherwise(0.6)).withColumn("recall", F.when(F.col("truth"), 0.6).otherwise(0.2))
+    df = df.withColumns({"contain": F.lit(False), "catw": F.lit(0.25), "brandw": F.lit(0.1), "top1": F.lit(0.1), "tts": F.lit(0.0)})
+    df = df.withColumns({"query": F.lit("abcd"), "title": F.concat(F.lit("xyz "), "item_id"), "title_key": F.concat(F.lit("xyz "), "item_id"), "item_text": F.lit("zzz"), "query_brands": F.array().cast("array<string>")})
+    fitted, area = model.fit_corrector(df, ["cos", "recall"], "label", "term_id")
+    assert area == 1.0
+    got = corrections.correct_by_models(df, fitted, ["cos", "recall"]).collect()
+    wrong = [r for r in got if (r.term_id * 20 + r.item_id) % 97 == 5]
+    assert len(got) == 1200 and wrong and all(r.y == r.truth for r in got) and all((r.changed_by == "T8") == (r in wrong) for r in got)
+    kept = tables.share_of_rows(df, ["term_id", "item_id"], 300).count()
+    assert 220 < kept < 380 and tables.share_of_rows(df, ["term_id", "item_id"], 1200).count() == 1200
+    with pytest.raises(ValueError):
+        corrections.correct_by_models(df.withColumn("prediction", F.lit(1)), fitted, ["cos", "recall"])
+
+
+def test_one_class_is_learned(spark):
+    df = spark.createDataFrame([(k, 1) for k in range(20)], "x long, label int")
+    assert min(r.p for r in model.predict(model.fit_member(df, ["x"], "label", rounds=2), df, ["x"], "p").collect()) > 0.5
