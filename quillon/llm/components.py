@@ -11,7 +11,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import Rows, cut, groups_of, lean
@@ -20,29 +20,51 @@ EDGES = "a long, b long"
 _EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
+#: Most vertices whose rows meet their smallest neighbour by broadcast; a row is a pair of longs.
+MOST_HOT = 100_000
+
+
+def _with_least(rows: DataFrame, key: str, least: Column, edges: int, hot_degree: int) -> tuple[DataFrame, DataFrame]:
+    """``rows`` with m, the value of ``least`` over all rows of the same ``key``; and (key, m) of each key.
+
+    Rows of a vertex of many edges stay where they are: its m is broadcast. Degrees sum to twice the edges at most,
+    so the limit leaves no more than MOST_HOT such vertices. All other rows are shuffled by the vertex.
+    """
+    found = rows.groupBy(key).agg(least.alias("m"), F.count("*").alias("degree"))
+    every = found.filter("degree > 0").select(key, "m")  # keeps the count, so that the plan has one aggregation
+    if edges < hot_degree:
+        return rows.join(every, key), every
+    limit = max(hot_degree, -(-2 * edges // MOST_HOT))
+    hot = F.broadcast(found.filter(F.col("degree") >= limit).select(key, "m"))
+    usual = found.filter(F.col("degree") < limit).select(key, "m")
+    names = [*rows.columns, "m"]
+    return rows.join(hot, key).select(*names).union(rows.join(hot, key, "left_anti").join(usual, key).select(*names)), every
+
+
+def connected_components(edges: DataFrame, hot_degree: int = 1000) -> DataFrame:
     """(id, component) of every vertex of ``edges`` (a, b): component is the smallest id it reaches.
 
     Alternates large-star and small-star contractions until every edge leads to its component's smallest id.
-    Each round is two aggregations and two joins on the vertex and is written to the shared folder. Loops and
-    repeated edges are allowed; vertices without edges have no row; an edge with a null end is left out.
+    Each round is two aggregations and two joins on the vertex and is written to the shared folder; a vertex of
+    ``hot_degree`` edges and more, such as a star's centre, does not meet in one task. Loops and repeated edges are
+    allowed; vertices without edges have no row; an edge with a null end is left out.
     """
     step = cut(edges.filter("a != b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct(), "edges")
-    seen = None
+    seen, n = None, step.count()
     while True:
         # Large star: each vertex hands its larger neighbours to its smallest one. The small star that follows
         # does so with its smaller neighbours and itself.
         both = step.select("u", "v").union(step.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("m").alias("u"), "v").filter("u != v").distinct()
+        near, _ = _with_least(both, "u", F.least(F.min("v"), F.first("u")), n, hot_degree)
+        large = near.filter("v > u").select(F.col("m").alias("u"), "v").filter("u != v").distinct()
         down = large.select(F.col("v").alias("h"), F.col("u").alias("w"))
-        low = down.groupBy("h").agg(F.min("w").alias("m"))
-        moved = down.join(low, "h").filter("w > m").select(F.col("m").alias("u"), F.col("w").alias("v"))
+        held, low = _with_least(down, "h", F.min("w"), n, hot_degree)
+        moved = held.filter("w > m").select(F.col("m").alias("u"), F.col("w").alias("v"))
         step = cut(moved.union(low.select(F.col("m").alias("u"), F.col("h").alias("v"))).distinct(), "edges")
         now = step.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.countDistinct("v")).first()
         if now[0] == now[2] and now == seen:  # a star forest that no longer changes
             break
-        seen = now
+        seen, n = now, now[0]
     return step.select(F.col("v").alias("id"), F.col("u").alias("component")).union(step.select(F.col("u").alias("id"), F.col("u").alias("component")).distinct())
 
 

@@ -87,8 +87,9 @@ def test_few_links_are_missed():
 
 
 @pytest.mark.parametrize("edges", [[], [(1, 1)], [(i, i + 1) for i in range(60)], [(5, i) for i in range(40)] + [(100, 101), (101, 100), (100, 101)], [(random.Random(i).randrange(90), random.Random(i + 500).randrange(90)) for i in range(70)]])
-def test_components(spark, edges):
-    got = components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()
+@pytest.mark.parametrize("hot_degree", [2, 1000])
+def test_components(spark, edges, hot_degree):
+    got = components.connected_components(spark.createDataFrame(edges, "a long, b long"), hot_degree).collect()
     ids = {x for a, b in edges if a != b for x in (a, b)}
     assert {r.id: r.component for r in got} == united([e for e in edges if e[0] != e[1]], ids) and len(got) == len(ids)
 
