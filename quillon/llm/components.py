@@ -41,12 +41,12 @@ def _with_least(rows: DataFrame, key: str, least: Column, edges: int, hot_degree
     return rows.join(hot, key).select(*names).union(rows.join(hot, key, "left_anti").join(usual, key).select(*names)), every
 
 
-def connected_components(edges: DataFrame, hot_degree: int = 1000) -> DataFrame:
+def connected_components(edges: DataFrame, hot_degree: int = 100_000) -> DataFrame:
     """(id, component) of every vertex of ``edges`` (a, b): component is the smallest id it reaches.
 
     Alternates large-star and small-star contractions until every edge leads to its component's smallest id.
     Each round is two aggregations and two joins on the vertex and is written to the shared folder; a vertex of
-    ``hot_degree`` edges and more, such as a star's centre, does not meet in one task. Loops and repeated edges are
+    ``hot_degree`` edges and more (two megabytes), such as a star's centre, does not meet in one task. Loops and repeated edges are
     allowed; vertices without edges have no row; an edge with a null end is left out.
     """
     step = cut(edges.filter("a != b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct(), "edges")
