@@ -181,7 +181,8 @@ def close_spelling(a: Column, b: Column) -> Column:
 def mine_synonyms(neighbours: DataFrame, terms: DataFrame, clicks: DataFrame, twin: float = 0.90, support: int = 3) -> DataFrame:
     """tok_a, tok_b, support, kind: words by which near-equal queries differ, one on each side.
 
-    Both have three characters and more; where both terms have clicks, they share an item.
+    Both have three characters and more; where both terms have clicks, they share an item. The terms that differ so, and
+    their clicks, are written once.
     """
     tokens = terms.select("term_id", F.array_distinct(tokenize(F.col("query"))).alias("t"))
     pairs = neighbours.filter(F.col("sim") >= twin).select(F.col("q_id").alias("a"), F.col("i_id").alias("b"))
@@ -189,8 +190,11 @@ def mine_synonyms(neighbours: DataFrame, terms: DataFrame, clicks: DataFrame, tw
     only_a, only_b = F.array_except("ta", "tb"), F.array_except("tb", "ta")
     one = told.filter((F.size(only_a) == 1) & (F.size(only_b) == 1)).select("a", "b", F.get(only_a, 0).alias("x"), F.get(only_b, 0).alias("y"))
     one = one.filter((F.length("x") >= 3) & (F.length("y") >= 3))
-    shared = one.select("a", "b").distinct().join(clicks.toDF("a", "item"), "a").join(clicks.toDF("b", "item"), ["b", "item"]).select("a", "b").distinct().withColumn("shared", F.lit(True))
-    active = clicks.select("term_id").distinct()
+    one = written(one, "differing")
+    asked = one.select(F.col("a").alias("term_id")).union(one.select("b")).distinct()
+    own = written(clicks.select("term_id", "item_id").join(asked, "term_id", "left_semi"), "differing-clicks")
+    shared = one.select("a", "b").distinct().join(own.toDF("a", "item"), "a").join(own.toDF("b", "item"), ["b", "item"]).select("a", "b").distinct().withColumn("shared", F.lit(True))
+    active = own.select("term_id").distinct()
     known = one.join(active.select(F.col("term_id").alias("a"), F.lit(True).alias("has_a")), "a", "left").join(active.select(F.col("term_id").alias("b"), F.lit(True).alias("has_b")), "b", "left").join(shared, ["a", "b"], "left")
     kept = known.filter(F.col("has_a").isNull() | F.col("has_b").isNull() | F.col("shared").isNotNull())
     counted = kept.groupBy(F.least("x", "y").alias("tok_a"), F.greatest("x", "y").alias("tok_b")).agg(F.count("*").alias("support")).filter(F.col("support") >= support)

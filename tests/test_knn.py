@@ -34,3 +34,23 @@ def test_blocks_and_strips_lose_nothing(spark, monkeypatch):
     got = listed(knn.knn(rows.toDF("q_id", "q_vec"), rows.toDF("i_id", "i_vec"), 5, exclude_self=True))
     want = [(q, at + 1, i) for q in range(100) for at, (_, i) in enumerate(sorted((-round(math.cos(q - i), 9), i) for i in range(100) if i != q)[:5])]
     assert [x[:3] for x in got] == want
+
+
+def test_pairs_read_the_orders_once(spark, sf):
+    from quillon.plans import bindings as b
+
+    pairs = b.pairs(spark, sf)
+    assert pairs._jdf.queryExecution().optimizedPlan().collectLeaves().size() == 2
+
+def test_synonyms_read_clicks_once(spark, monkeypatch):
+    from quillon.operators import mining
+
+    names = []
+    plain = mining.written
+    monkeypatch.setattr(mining, "written", lambda df, name: names.append(name) or plain(df, name))
+    terms = spark.createDataFrame([(1, "red ring"), (2, "red gear"), (3, "hot ring")], "term_id long, query string")
+    near = spark.createDataFrame([(1, 2, 0.95), (2, 1, 0.95), (1, 3, 0.95), (3, 1, 0.95)], "q_id long, i_id long, sim double")
+    clicks = spark.createDataFrame([(1, 10), (2, 10), (3, 11)], "term_id long, item_id long")
+    got = mining.mine_synonyms(near, terms, clicks, support=1).collect()
+    assert [(r.tok_a, r.tok_b, r.support) for r in got] == [("gear", "ring", 2)]  # 1 and 3 share no item
+    assert names == ["differing", "differing-clicks"]
