@@ -54,3 +54,32 @@ def test_synonyms_read_clicks_once(spark, monkeypatch):
     got = mining.mine_synonyms(near, terms, clicks, support=1).collect()
     assert [(r.tok_a, r.tok_b, r.support) for r in got] == [("gear", "ring", 2)]  # 1 and 3 share no item
     assert names == ["differing", "differing-clicks"]
+
+
+def test_clickers_meet_by_number(spark, monkeypatch):
+    from quillon.operators import graph
+
+    vectors = spark.createDataFrame(VECTORS[:4] + [(-1, [0.0, -1.0])], "vec_id long, vec array<double>")
+    places = spark.createDataFrame([(t, t % 5 - 1) for t in range(30)] + [(30, 99), (31, None)], "term_id long, vec_id long")
+    clicks = spark.createDataFrame([(t, i) for t in range(32) for i in range(6) if (t * 7 + i) % 3 == 0 and i], "term_id long, item_id long")
+    pairs = spark.createDataFrame([(t, i, t + i) for t in range(33) for i in range(8)] + [(1, None, 0), (1, 2, 5)], "term_id long, item_id long, more long")
+    whole = places.join(vectors, "vec_id").select("term_id", "vec")
+    row = lambda df: sorted((r.term_id, -9 if r.item_id is None else r.item_id, r.more, round(r.item_breadth, 9), round(r.item_maxsim, 9)) for r in df.collect())
+    for most in (3, 50):
+        for own in (True, False):
+            want = row(graph.clicked_by(pairs, clicks, whole, own, most))
+            assert row(graph.clicked_by_shared(pairs, clicks, places, vectors, own, most)) == want
+            assert any(x[-2] for x in want) and not all(x[-2] for x in want)
+    monkeypatch.setattr(knn, "HELD_VECTORS", 0)
+    assert row(graph.clicked_by_shared(pairs, clicks, places, vectors, True)) == row(graph.clicked_by(pairs, clicks, whole, True))
+
+
+def test_terms_of_the_same_neighbours_are_summed_once(spark):
+    from quillon.operators import graph
+
+    near = spark.createDataFrame([(t, i, 0.5, at + 1) for t in range(10, 30) for at, i in enumerate((1, 2))], "q_id long, i_id long, sim double, rank int")
+    assert {r.profile for r in graph.profiles(near).collect()} == {10}
+    clicks = spark.createDataFrame([(1, 100), (1, 101), (2, 100)], "term_id long, item_id long")
+    items = spark.createDataFrame([(100, "a", ""), (101, None, "x")], "item_id long, leaf string, side string")
+    got = {(r.term_id, r.dim, r.value): r.p for r in graph.histograms(near, clicks, items, {"leaf": "leaf", "side": "side"}).collect()}
+    assert got == {(t, d, v): p for t in range(10, 30) for d, v, p in [("leaf", "a", 2 / 3), ("leaf", None, 1 / 3), ("side", "x", 1 / 3)]}
