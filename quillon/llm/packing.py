@@ -23,6 +23,8 @@ from .word_tokens import encoder
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary"
 _PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("ids", pa.binary())])
+#: Bytes of texts that are encoded at a time: what a worker holds besides its words grows with it.
+RUN_BYTES = 2_000_000
 #: Sequence ids of a task start at its number times this, and full windows count from the upper half.
 _STRIDE = 1 << 36
 
@@ -74,7 +76,7 @@ def _cut(batches: Iterator[pa.RecordBatch], tokenizer_path: str, end_id: int, wi
     encoded, end = encoder(tokenizer_path).encode_runs, struct.pack("<I", end_id)
     for batch in batches:
         doc_ids = batch.column("doc_id").to_pylist()
-        for a, b, ids, ends in encoded(batch.column("text")):
+        for a, b, ids, ends in encoded(batch.column("text"), RUN_BYTES):
             raw, rows = memoryview(np.ascontiguousarray(ids, "<u4")).cast("B"), []
             for doc_id, x, y in zip(doc_ids[a:b], ends[:-1].tolist(), ends[1:].tolist(), strict=True):
                 for at in range(0, y - x + 1, window):

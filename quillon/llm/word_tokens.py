@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from .shared import per_worker, plain_strings, text_runs
+from .shared import per_worker, plain_strings, release_memory, text_runs
 
 #: Punctuation that ends a word; such a run is a piece of its own behind a plain word.
 _ENDS = ".,;:!?"
@@ -206,6 +206,13 @@ def _keeps_words(spec: dict) -> bool:
     return r"[\p{L}]+" in ways and r"[^\s\p{L}\p{N}]+" in ways and not any(w[:1].isalpha() or w[:1] in _ENDS for w in ways)
 
 
+def _loaded(path: str) -> WordEncoder:
+    """An encoder of the file; what reading it took beyond that is given back before the first text."""
+    made = WordEncoder(path)
+    release_memory()
+    return made
+
+
 def encoder(path: str) -> WordEncoder:
     """This worker's encoder of the file."""
-    return per_worker(partial(WordEncoder, path))
+    return per_worker(partial(_loaded, path))

@@ -3,6 +3,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -137,3 +138,16 @@ def test_packing(spark, sf):
     assert sum(r.length for r in got) > 0.95 * 256 * len(sequences)
     assert packing.pack_documents(docs_of(spark, []), PATH).collect() == []
     assert packing.pack_documents(docs_of(spark, [(1, "a b")]), PATH).count() == 1
+
+
+def test_packing_holds_a_run_of_texts_and_loads_leanly(monkeypatch):
+    """Texts are encoded two megabytes at a time, and what reading the tokenizer took is given back first."""
+    from quillon.llm import packing, word_tokens
+    from quillon.llm.queries import tokenizer_file
+
+    freed = []
+    monkeypatch.setattr(word_tokens, "release_memory", lambda: freed.append(True), raising=False)
+    monkeypatch.setattr(packing, "encoder", lambda path: word_tokens._loaded(path))
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(60)), "text": ["red ring " * 11_000] * 60})
+    runs = list(packing._cut(iter([batch]), tokenizer_file(), 1, 2048, True))
+    assert freed and len(runs) >= 3 and sum(x for r in runs for x in r.column("length").to_pylist()) == 60 * 22_001
