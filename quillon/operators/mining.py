@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import contained, ngrams, token_set, tokenize
 from ..sources.tables import written
+from .held_texts import with_contained
 from .metrics import quantiles
 from .sets import without
 from .windows import top_k
@@ -161,9 +162,11 @@ def clean_negatives(pairs: DataFrame, terms: DataFrame, items: DataFrame, text:
     q = terms.select("term_id", token_set(F.col("query")).alias("q"))
     i = items.select("item_id", token_set(F.col(text)).alias("i"))
     limit = quantiles(pairs.filter("label = 1"), "cos", [percent]).select(F.get("q", F.lit(0)).alias("limit"))
-    rows = pairs.join(q, "term_id", "left").join(i, "item_id", "left").join(F.broadcast(limit))
-    doubtful = (F.col("label") == 0) & (F.coalesce(contained(F.col("q"), F.col("i")), F.lit(False)) | F.coalesce(F.col("cos") >= F.col("limit"), F.lit(False)))
-    return rows.filter(~doubtful).drop("q", "i", "limit")
+    rows = with_contained(pairs, q, i, "_held")
+    if rows is None:
+        rows = pairs.join(q, "term_id", "left").join(i, "item_id", "left").withColumn("_held", contained(F.col("q"), F.col("i"))).drop("q", "i")
+    doubtful = (F.col("label") == 0) & (F.coalesce("_held", F.lit(False)) | F.coalesce(F.col("cos") >= F.col("limit"), F.lit(False)))
+    return rows.join(F.broadcast(limit)).filter(~doubtful).drop("_held", "limit")
 
 
 def hard_negatives(scored: DataFrame, threshold: float = 0.5, per_term: int = 30) -> DataFrame:
