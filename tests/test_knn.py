@@ -74,6 +74,36 @@ def test_clickers_meet_by_number(spark, monkeypatch):
     assert row(graph.clicked_by_shared(pairs, clicks, places, vectors, True)) == row(graph.clicked_by(pairs, clicks, whole, True))
 
 
+def test_all_clickers_count(spark, monkeypatch):
+    """An item of 400 clickers, who share 40 vectors, and items of few, against the products themselves."""
+    import numpy as np
+
+    from quillon.operators import graph
+
+    matrix = np.random.default_rng(5).normal(size=(40, 4)).round(3)
+    place = {t: 39 if t == 7 else t % 39 for t in range(400)}  # no other term has that of 7
+    clicks = sorted({(t, 0) for t in range(400)} | {(t, 1) for t in range(0, 400, 5)} | {(3, 2)})
+    asked = [(t, i) for t in range(0, 400) for i in range(4)]
+
+    def want(own):
+        out = []
+        for t, i in asked:
+            who = [place[o] for o, x in clicks if x == i and not (own and o == t)]
+            out.append((t, i, round(float(np.log1p(len(who))), 9), round(float((matrix[who] @ matrix[place[t]]).max()), 9) if who else 0.0))
+        return out
+
+    row = lambda df: sorted((r.term_id, r.item_id, round(r.item_breadth, 9), round(r.item_maxsim, 9)) for r in df.collect())
+    vectors = spark.createDataFrame([(k, v) for k, v in enumerate(matrix.tolist())], "vec_id long, vec array<double>")
+    places = spark.createDataFrame(sorted(place.items()), "term_id long, vec_id long")
+    pairs, clicked = spark.createDataFrame(asked, "term_id long, item_id long"), spark.createDataFrame(clicks, "term_id long, item_id long")
+    monkeypatch.setattr(knn, "CHUNK", 150)
+    monkeypatch.setattr(knn, "BLOCK", 16)
+    for own in (True, False):
+        told = want(own)
+        assert row(graph.clicked_by_shared(pairs, clicked, places, vectors, own)) == told and max(x[2] for x in told) > 5.9
+        assert row(graph.clicked_by(pairs, clicked, places.join(vectors, "vec_id").select("term_id", "vec"), own)) == told
+
+
 def test_terms_of_the_same_neighbours_are_summed_once(spark):
     from quillon.operators import graph
 
