@@ -129,6 +129,21 @@ def test_corrector_and_distilled_labels(spark):
         corrections.correct_by_models(df.withColumn("prediction", F.lit(1)), fitted, ["cos", "recall"])
 
 
+def test_the_second_model_learns_from_every_row(spark, monkeypatch):
+    """Also where the table is said to have three million rows."""
+    from quillon.operators import corrections
+
+    df = spark.createDataFrame([(t, i, (t + i) % 2 == 0) for t in range(30) for i in range(10)], "term_id long, item_id long, y boolean")
+    df = df.withColumn("cos", F.when(F.col("y"), 0.7).otherwise(0.6)).withColumn("label", F.col("y").cast("int"))
+    df = df.withColumns({"recall": F.lit(0.6), "contain": F.lit(False), "catw": F.lit(0.25), "brandw": F.lit(0.1), "top1": F.lit(0.1), "tts": F.lit(0.0)})
+    df = df.withColumns({"query": F.lit("abcd"), "title": F.lit("xyz"), "title_key": F.lit("xyz"), "item_text": F.lit("zzz"), "query_brands": F.array().cast("array<string>")})
+    fitted, _ = model.fit_corrector(df, ["cos", "recall"], "label", "term_id", rounds=1, judged=False)
+    seen, fit = [], model.fit_member
+    monkeypatch.setattr(corrections, "fit_member", lambda rows, *a, **b: seen.append(rows.agg(F.count("*")).first()[0]) or fit(rows, *a, **b | {"rounds": 1}))
+    monkeypatch.setattr(type(df), "count", lambda self: 3_000_000)
+    assert len(corrections.correct_by_models(df, fitted, ["cos", "recall"]).collect()) == 300 and seen == [300]
+
+
 def test_one_class_is_learned(spark):
     df = spark.createDataFrame([(k, 1) for k in range(20)], "x long, label int")
     assert min(r.p for r in model.predict(model.fit_member(df, ["x"], "label", rounds=2), df, ["x"], "p").collect()) > 0.5
